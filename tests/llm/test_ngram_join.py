@@ -53,7 +53,7 @@ def corpus(seed):
 
 
 def test_brute_force(spark):
-    for seed in (1, 2):
+    for seed in (1,):
         rows = corpus(seed)
         docs = spark.createDataFrame([(*x, "extra", 1) for x in rows], "doc_id long, text string, node string, sig int").repartition(3)
         got = sorted(map(tuple, jaccard_components(docs).collect()))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -54,8 +55,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    del df
+    for _ in range(2):  # Python's references go first, then the JVM's
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     return out
 
 

@@ -12,7 +12,8 @@ Subsets of parts that are empty in a set would collide for all sets.  With z spa
 partitions, a set that has at most z partitions with an empty subset needs no signature
 for them; the few other sets keep theirs.  So no link is lost.
 
-Signatures travel packed, dealt by their high bits.  A run of one signature first gives pairs
+Signatures travel packed, dealt by their high bits, with 32 more bits; that some runs meet by chance
+adds pairs that the bound and the texts turn down.  A run of one signature first gives pairs
 of its smallest member with the others; pairs survive an exact bound (parity sketches: the
 number of differing bits can't exceed the difference of the sets) and are verified on the
 texts.  Only runs that still hold several components then give further pairs, between
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import U64, mix, shingles, slices, stored
 from .components import components
 
-BUCKET_SIGNATURES = 1_500_000
+BUCKET_SIGNATURES = 3_000_000
 SETS = "doc_id long, n_shingles long, node long, sketch binary"
-PACKED = "bucket int, sigs binary, nodes binary"
+PACKED = "bucket int, sigs binary, nodes binary, times binary"
 
 
 class Bands:
@@ -124,22 +125,26 @@ def _signed(width: int, percent: int, largest: int, bits: int):
                     continue
                 sig, who = signatures(f[one[d]], sizes[one], bands)
                 order = np.argsort(sig >> U64(64 - bits), kind="stable")
-                sig, node = sig[order], ids[one][who[order]]
-                rest = (sig << U64(bits) >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                sig, who = sig[order], who[order]
+                rest = (sig << U64(bits) >> U64(32)).astype(np.uint32)
                 cut = np.searchsorted(sig >> U64(64 - bits), np.arange(2**bits + 1, dtype=U64))
                 full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rest[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([node[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "sigs", "nodes"])
+                new = np.ones(len(who), bool)  # a set's signatures of one bucket lie together
+                new[1:] = who[1:] != who[:-1]
+                new[cut[full]] = True
+                at = np.flatnonzero(new)
+                node, times, edge = ids[one][who[at]], np.diff(at, append=len(who)).astype(np.uint32), np.searchsorted(at, cut)
+                packed = [[x[e[b] : e[b + 1]].tobytes() for b in full] for x, e in ((rest, cut), (node, edge), (times, edge))]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "sigs", "nodes", "times"])
 
     return run
 
 
 def _runs(key, table):
     """Signatures that several sets of a bucket share: (sig, leader, node) for all but the leader, the smallest node."""
-    raw = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint8).reshape(-1, 6)
-    sig = np.zeros((len(raw), 8), np.uint8)
-    sig[:, :6] = raw
-    sig = sig.view(U64)[:, 0]
-    node = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
+    joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    sig = joined("sigs", np.uint32)
+    node = np.repeat(joined("nodes", np.int64), joined("times", np.uint32))
     order = np.argsort(sig)
     sig, node = sig[order], node[order]
     same = np.zeros(len(sig) + 1, bool)
@@ -154,7 +159,7 @@ def _runs(key, table):
     keep = np.ones(len(sig), bool)
     keep[1:] = new[1:] | (node[1:] != node[:-1])
     keep &= node != leader
-    run = (U64(key[0].as_py()) << U64(48)) ^ sig[keep]
+    run = (U64(key[0].as_py()) << U64(32)) | sig[keep].astype(U64)
     return pa.table({"sig": run.view(np.int64), "leader": leader[keep], "node": node[keep]})
 
 
