@@ -45,18 +45,19 @@ def work_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Writes a step as Parquet in the shared folder and reads it again.
 
-    This cuts the lineage in a way that survives lost executors, and shuffle files
-    of the finished step can go once the JVM has collected its garbage.
+    This cuts the lineage in a way that survives lost executors.  The shuffle files of a
+    finished step go once the JVM has collected its garbage; release asks for that now, after a
+    step that shuffles about as much as the input.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    for _ in range(2):  # Python's references go first, then the JVM's
+    for _ in range(2 * release):  # Python's references go first, then the JVM's
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.1)

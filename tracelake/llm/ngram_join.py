@@ -243,11 +243,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     total, largest = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     bits = max(3, int(np.ceil(np.log2(max(1, 1.3 * total / BUCKET_SIGNATURES)))))
-    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs")
+    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs", release=True)
 
     wanted = runs.select("node").union(runs.select("leader")).distinct()
     reps = nodes.join(wanted, "node").where("rep is not null").select("node", F.col("rep").alias("doc_id"))
-    texts = stored(docs.join(reps, "doc_id").select("node", "text"), "texts")
+    texts = stored(docs.join(reps, "doc_id").select("node", "text"), "texts", release=True)
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ngram_join
+from . import mixing, ngram_join, sharding, substring_dedup, token_counts, token_output
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +18,53 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end=0)
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words_of("text").alias("size"))
+    return mixing.mixed(docs, weights=(3, 1, 2), share=1.5, repeats=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), n=8)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), length=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op4_token_output, op5_source_mixing, op6_sharding, op8_substring_dedup)}
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+with recursive w as (select doc_id, coalesce({_SPLIT.format(_LOWER)}, []::varchar[]) as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                          when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end as s from w),
+u as (select doc_id, len(s) as n, unnest(s) as g from s),
+links as (select a.doc_id as a, b.doc_id as b from u a join u b on a.g = b.g and a.doc_id < b.doc_id
+          group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b from reach r join edges e on r.b = e.a),
+comp as (select a, min(b) as c from reach group by a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.c as component_id from s join comp c on c.a = s.doc_id
+""",
+    "op8_substring_dedup": f"""
+with w as (select doc_id, coalesce({_SPLIT.format("text")}, []::varchar[]) as w from documents),
+runs as (select doc_id, unnest(range(1, len(w) - 18)) as i, w from w),
+named as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as run from runs),
+firsts as (select doc_id, i, row_number() over (partition by run order by doc_id, i) as k from named),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from firsts where k > 1),
+per as (select doc_id, list(j) as js from gone group by doc_id),
+kept as (select w.doc_id, len(w.w) as n, list_filter(w.w, lambda x, j: js is null or not list_contains(js, j)) as k from w left join per using (doc_id))
+select doc_id, cast(n as bigint) as n_words, cast(n - len(k) as bigint) as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
+""",
+}
