@@ -14,7 +14,7 @@ for them; the few other sets keep theirs.  So no link is lost.
 
 Signatures travel packed, dealt by their high bits, with 32 more bits; that some runs meet by chance
 adds pairs that the bound and the texts turn down.  A run of one signature first gives pairs
-of its smallest member with the others; pairs survive an exact bound (parity sketches: the
+of a leader with the others; pairs survive an exact bound (parity sketches: the
 number of differing bits can't exceed the difference of the sets) and are verified on the
 texts.  Only runs that still hold several components then give further pairs, between
 components, filtered by the same bound before they leave the task.
@@ -30,6 +30,7 @@ from .common import U64, mix, shingles, slices, stored
 from .components import components
 
 BUCKET_SIGNATURES = 3_000_000
+LEADERS = 4
 SETS = "doc_id long, n_shingles long, node long, sketch binary"
 PACKED = "bucket int, sigs binary, nodes binary, times binary"
 
@@ -141,7 +142,9 @@ def _signed(width: int, percent: int, largest: int, bits: int):
 
 
 def _runs(key, table):
-    """Signatures that several sets of a bucket share: (sig, leader, node) for all but the leader, the smallest node."""
+    """Signatures that several sets of a bucket share: (sig, leader, node) for all but the leader.
+
+    Leaders come first in one of LEADERS random orders, so a large group of near copies is compared with several of its members."""
     joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
     sig = joined("sigs", np.uint32)
     node = np.repeat(joined("nodes", np.int64), joined("times", np.uint32))
@@ -151,7 +154,8 @@ def _runs(key, table):
     same[1:-1] = sig[1:] == sig[:-1]
     some = same[1:] | same[:-1]
     sig, node = sig[some], node[some]
-    order = np.lexsort((node, sig))
+    turn = mix(node.view(U64) + (sig.astype(U64) & U64(LEADERS - 1)) * U64(0x632BE59BD9B4E019))
+    order = np.lexsort((turn, sig))  # equal sets lie together
     sig, node = sig[order], node[order]
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
@@ -163,16 +167,28 @@ def _runs(key, table):
     return pa.table({"sig": run.view(np.int64), "leader": leader[keep], "node": node[keep]})
 
 
-def _differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Differing bits of pairs of sketches, the longer folded to the shorter's length."""
-    out = np.empty(len(a), np.int64)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-        if len(x) < len(y):
-            x, y = y, x
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0)
-        out[i] = np.bitwise_count(x ^ y).sum()
-    return out
+class _Sketches:
+    """Sketches of some sets, folded to every shorter width that is needed."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.width = np.array([len(s) for s in sketches], np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.width)])
+        self.data = np.frombuffer(b"".join(sketches), np.uint8)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of pairs, the longer sketch folded to the shorter's length."""
+        out = np.empty(len(a), np.int64)
+        wide, narrow = np.maximum(self.width[a], self.width[b]), np.minimum(self.width[a], self.width[b])
+        swap = self.width[a] < self.width[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        for w, n in set(zip(wide.tolist(), narrow.tolist(), strict=True)):
+            k = np.flatnonzero((wide == w) & (narrow == n))
+            for i in range(0, len(k), max(1, (1 << 24) // w)):
+                part = k[i : i + max(1, (1 << 24) // w)]
+                x = self.data[self.base[a[part]][:, None] + np.arange(w)].reshape(len(part), -1, n)
+                y = self.data[self.base[b[part]][:, None] + np.arange(n)]
+                out[part] = np.bitwise_count(np.bitwise_xor.reduce(x, 1) ^ y).sum(1, dtype=np.int64)
+        return out
 
 
 def _may_link(na, nb, differ, percent: int):
@@ -186,7 +202,9 @@ def _bounded(percent: int):
             na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
             ok = _may_link(na, nb, 0, percent)
             t = t.filter(pa.array(ok))
-            ok = _may_link(na[ok], nb[ok], _differ(t.column("sa").to_pylist(), t.column("sb").to_pylist()), percent)
+            n = t.num_rows
+            differ = _Sketches(t.column("sa").to_pylist() + t.column("sb").to_pylist()).differ(np.arange(n), np.arange(n, 2 * n))
+            ok = _may_link(na[ok], nb[ok], differ, percent)
             yield t.filter(pa.array(ok)).select(["a", "b"])
 
     return run
@@ -211,20 +229,49 @@ def _across(percent: int):
     """Pairs of nodes of one run and different components that the bound allows; without those of the run's leader."""
 
     def run(key, table):
-        t = table.to_pandas().sort_values(["sig", "node"])
-        sig, node, comp, n, sketch = (t[c].to_numpy() for c in ("sig", "node", "comp", "n", "sketch"))
-        found = []
+        node, at = np.unique(table.column("node").to_numpy(), return_inverse=True)
+        first = np.unique(at, return_index=True)[1]
+        sketches = _Sketches(table.column("sketch").take(pa.array(first)).to_pylist())
+        n, comp = table.column("n").to_numpy()[first], table.column("comp").to_numpy()[first]
+        order = np.lexsort((at, table.column("sig").to_numpy()))
+        sig, at = table.column("sig").to_numpy()[order], at[order]
         edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            low = min(len(s) for s in sketch[i:j])
-            folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, low), 0) for s in sketch[i:j]])
-            for k in range(i, j - 1):
-                other = np.flatnonzero(comp[k + 1 : j] != comp[k]) + k + 1
-                differ = np.bitwise_count(folded[other - i] ^ folded[k - i]).sum(1, dtype=np.int64)
-                other = other[_may_link(n[other], n[k], differ, percent)]
-                found.append(np.column_stack([np.full(len(other), node[k]), node[other]]))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        size = np.diff(edge)
+        held, found, rows = [], [], 0
+
+        def settle():
+            pairs = np.unique(np.concatenate(held))
+            held.clear()
+            a, b = pairs // len(node), pairs % len(node)
+            ok = _may_link(n[a], n[b], 0, percent)
+            a, b = a[ok], b[ok]
+            ok = _may_link(n[a], n[b], sketches.differ(a, b), percent)
+            found.append(a[ok] * len(node) + b[ok])
+
+        def take(a, b):
+            nonlocal rows
+            ok = comp[a] != comp[b]
+            held.append(a[ok] * len(node) + b[ok])
+            rows += ok.sum()
+            if rows > 2_000_000:
+                settle()
+                rows = 0
+
+        for m in np.unique(size):
+            starts = edge[:-1][size == m]
+            if m <= 64:
+                i, j = np.triu_indices(m, 1)
+                for k in range(0, len(starts), max(1, 1_000_000 // max(1, len(i)))):
+                    s = starts[k : k + max(1, 1_000_000 // max(1, len(i)))][:, None]
+                    take(at[s + i].ravel(), at[s + j].ravel())
+            else:
+                for s in starts:
+                    for k in range(s, s + m - 1):
+                        take(np.full(s + m - 1 - k, at[k]), at[k + 1 : s + m])
+        if held:
+            settle()
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pa.table({"a": node[pairs // max(1, len(node))], "b": node[pairs % max(1, len(node))]})
 
     return run
 
@@ -259,7 +306,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     comp = stored(components(first), "comp")
     label = lambda x: comp.select(F.col("node").alias(x), F.col("label").alias(f"{x}_comp"))
     seen = runs.join(label("node"), "node", "left").join(label("leader"), "leader", "left").withColumn("comp", F.coalesce("node_comp", "node")).withColumn("top", F.coalesce("leader_comp", "leader"))
-    open_ = seen.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("members > 1 and low <> high").select("sig")
+    # runs of the same sets give the same pairs: one of them is enough
+    same = seen.groupBy("sig").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    open_ = same.where("members > 1 and low <> high").groupBy("mark", "members").agg(F.min("sig").alias("sig")).select("sig")
     left = seen.join(open_, "sig").select("sig", "node", "comp").join(nodes.select("node", "n", "sketch"), "node")
     more = left.withColumn("deal", F.pmod("sig", F.lit(2**bits * 16))).groupBy("deal").applyInArrow(_across(percent), "a long, b long").distinct()
     edges = first.union(links(more, "across"))
