@@ -143,12 +143,12 @@ def _power(way: str, n: int) -> np.ndarray:
     return _powers[way][:n]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and for each text (and the end) the number of its first word."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    sep = _SEP[data]
+    sep = separators[data]
     left, right = np.empty(n, bool), np.empty(n, bool)
     left[0] = right[-1] = True
     left[1:], right[:-1] = sep[:-1], sep[1:]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, ngram_join, sharding, substring_dedup, token_counts, token_output
+from . import decontamination, mixing, ngram_join, sharding, substring_dedup, token_counts, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end=0)
 
@@ -39,7 +43,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), length=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op4_token_output, op5_source_mixing, op6_sharding, op8_substring_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels"), spared=2), spared=2, threshold=0.3)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_benchmark_decontamination, op4_token_output, op5_source_mixing, op6_sharding, op8_substring_dedup, op10_toxicity)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
