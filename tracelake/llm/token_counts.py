@@ -24,6 +24,17 @@ GROUP_TOKENS = 500_000
 PARTS = "chunk long, doc_id long, n_bytes long, ids binary, times binary, deal int, first long, tokens array<string>"
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """The numbers in as few bytes each as the largest needs; the first byte says how many."""
+    top = int(x.max(initial=0))
+    size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def _wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+
+
 class _Chunk:
     def __init__(self, number: int):
         self.number, self.bytes = number, 0
@@ -58,8 +69,8 @@ class _Chunk:
             for _, _, which, count in part:
                 which = place[which]
                 turn = np.argsort(which)
-                ids.append(np.diff(which[turn], prepend=np.uint32(0)).tobytes())  # small steps compress well
-                times.append(count[turn].astype(np.uint32).tobytes())
+                ids.append(_narrow(np.diff(which[turn], prepend=np.uint32(0))))
+                times.append(_narrow(count[turn]))
             n = len(part)
             yield pa.RecordBatch.from_arrays([pa.array([self.number] * n, pa.int64()), pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array(ids, pa.binary()), pa.array(times, pa.binary()), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.list_(pa.string()))], schema=schema)
 
@@ -101,8 +112,8 @@ def _summed(key, docs, counts):
     count = np.frombuffer(b"".join(made[i] for i in order), np.uint32).astype(np.int64)
     total = []
     for ids, times in zip(docs.column("ids").to_pylist(), docs.column("times").to_pylist(), strict=True):
-        which = np.cumsum(np.frombuffer(ids, np.uint32), dtype=np.int64)
-        total.append(int(count[which] @ np.frombuffer(times, np.uint32).astype(np.int64)) if len(which) else 0)
+        which = np.cumsum(_wide(ids))
+        total.append(int(count[which] @ _wide(times)) if len(which) else 0)
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(total, pa.int64())})
 
 
