@@ -154,16 +154,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame
     Null and blank texts match nothing; items with a null id, or with fewer than SHORTEST
     letters and digits, are left out.  Rows that repeat are returned as often as they come.  Empty tables give an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
-    total, longest = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-int(total) // BLOCK_BYTES))
     out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        block = sorted((r.item_id, r.text) for r in part.toLocalIterator())  # about BLOCK_BYTES
-        sent = spark.sparkContext.broadcast(block)
+    for sent in _blocks(benchmark):
 
         def run(batches, sent=sent):
             index = Index(sent.value, percent)
@@ -179,7 +172,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame
     return out
 
 
+def _blocks(benchmark: DataFrame):
+    """The items as broadcasts of about BLOCK_BYTES each."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // BLOCK_BYTES))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.toLocalIterator()))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame:
-    """The documents in which no item was found, with all their columns.  Rows without an id are kept if they match nothing of their own kind: they are never named by a match and stay."""
-    bad = leaks(docs, benchmark, percent).select(F.col("doc_id").alias("_leaking")).where("_leaking is not null").distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leaking"), "left_anti")
+    """The rows in whose text no item was found, with all their columns and without an exchange; a filter for each block of items."""
+    for sent in _blocks(benchmark):
+
+        def run(batches, sent=sent):
+            index = Index(sent.value, percent)
+            for batch in batches:
+                for cut in slices(batch, "text", 2 << 20):
+                    keep = np.ones(cut.num_rows, bool)
+                    keep[[m[0] for m in index.matches(cut.column(cut.schema.get_field_index("text")))]] = False
+                    yield cut.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, mixing, ngram_join, sharding, substring_dedup, token_counts, token_output, toxicity
+from . import decontamination, media, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -39,6 +39,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), n=8)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path")), model)
+
+
+def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recording of a page is the melody of its words without tags."""
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style).*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), media.melody_of(text).alias("audio"))
+    return media.recording_groups(pages).withColumnRenamed("id", "page_id")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), length=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -48,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels"), spared=2), spared=2, threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_benchmark_decontamination, op4_token_output, op5_source_mixing, op6_sharding, op8_substring_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_benchmark_decontamination, op4_token_output, op5_source_mixing, op6_sharding, op7_quality, op8_substring_dedup, op9_audio_fingerprints, op10_toxicity)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"

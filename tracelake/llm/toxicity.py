@@ -90,9 +90,9 @@ class Tokens:
         return np.where(mask, self.number[np.minimum(at, len(self.number) - 1)], len(self.size)), mask
 
     def scores(self, model: dict) -> np.ndarray:
-        """Logit of each text: of its highest window, or the bias where it has no token."""
+        """Logit of each text: of its highest window, or that of empty texts where it has no token."""
         p = model["network"]
-        out = np.full(len(self.first) - 1, p["c"][0], np.float32)
+        out = np.full(len(self.first) - 1, model["empty"], np.float32)
         start, text = self.windows()
         if not len(start):
             return out
@@ -121,11 +121,14 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> dict:
     y = np.array([label for _, label in rows], np.float32)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     network = gru.fresh(INPUTS, 8, 8)
+    none = np.diff(tokens.first) == 0
+    share = (y[none].sum() + 0.1) / (none.sum() + 1)  # of label 1 among texts without a token, 0.1 where there are none
+    empty = float(np.log(share / (1 - share)))
     names = ["w0", "w1", *(f"g{i}" for i in range(len(GRAMS)))]
     if not n1 or not n0:  # nothing to learn from
         network["c"][0] = 0 if n1 == n0 else (4 if n1 else -4)
         network["o"][:] = 0
-        return {"network": network, "tables": {k: np.zeros(2**BITS, np.float32) for k in names}}
+        return {"network": network, "tables": {k: np.zeros(2**BITS, np.float32) for k in names}, "empty": empty}
     doc = np.repeat(np.arange(len(rows)), np.diff(tokens.first))
     pairs = np.unique(doc * (len(tokens.size) + 1) + tokens.number)
     doc, token = pairs // (len(tokens.size) + 1), pairs % (len(tokens.size) + 1)
@@ -145,7 +148,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> dict:
     left_out = [tokens.vectors({k: _odds(a, np.maximum(b - 1, 0), n1, n0 - 1 or 1) for k, (a, b) in counts.items()}), tokens.vectors({k: _odds(np.maximum(a - 1, 0), b, n1 - 1 or 1, n0) for k, (a, b) in counts.items()})]
     start, text = tokens.windows()
     if not len(start):
-        return {"network": network, "tables": tables}
+        return {"network": network, "tables": tables, "empty": empty}
     label = y[text].astype(int)
     r = np.random.default_rng(11)
 
@@ -169,7 +172,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> dict:
             x, mask = inputs(part)
             _, g = gru.gradients(network, x, mask, y[text[part]], np.full(len(part), 1 / len(part), np.float32))
             adam.step(network, {k: np.clip(v, -1, 1) for k, v in g.items()})
-    return {"network": network, "tables": tables}
+    return {"network": network, "tables": tables, "empty": empty}
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, spared: int = 2) -> dict:
@@ -198,7 +201,7 @@ def scored(docs: DataFrame, model: dict, spared: int = 2, threshold: float = 0.3
 
     docs needs doc_id and text; other columns are ignored.  Returns for each row: doc_id, held_out
     (crc32(doc_id as text) mod 4 is `spared`; false for a null id), score, predicted (score >= threshold).
-    Null texts, and those without a token, get the model's bias.  An empty table gives an empty result.
+    Null texts, and those without a token, get the share of label 1 among such training rows.  An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: tables of 2**BITS and a small network
 
@@ -211,3 +214,16 @@ def scored(docs: DataFrame, model: dict, spared: int = 2, threshold: float = 0.3
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == spared, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns and without an exchange."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                s = gru.sigmoid(Tokens(part.column(part.schema.get_field_index("text"))).scores(sent.value).astype(np.float64))
+                yield part.filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
