@@ -202,7 +202,7 @@ def without_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
         raise ValueError(f"runs must be longer than {GRAM} words")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     keyed = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    groups = lambda rows: max(3, int(np.ceil(np.log2(max(1, rows / GROUP_ROWS)))))
+    groups = lambda rows: max(6, int(np.ceil(np.log2(max(1, rows / GROUP_ROWS)))))
 
     def repeats(packed: DataFrame, every: bool, name: str) -> DataFrame:
         """(doc, places): of hashes at several places."""
