@@ -30,6 +30,7 @@ from .common import U64, mix, shingles, slices, stored
 from .components import components
 
 BUCKET_SIGNATURES = 3_000_000
+DEAL_ROWS = 1_000_000
 LEADERS = 4
 SETS = "doc_id long, n_shingles long, node long, sketch binary"
 PACKED = "bucket int, sigs binary, nodes binary, times binary"
@@ -196,20 +197,6 @@ def _may_link(na, nb, differ, percent: int):
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
 
 
-def _bounded(percent: int):
-    def run(batches):
-        for t in batches:
-            na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
-            ok = _may_link(na, nb, 0, percent)
-            t = t.filter(pa.array(ok))
-            n = t.num_rows
-            differ = _Sketches(t.column("sa").to_pylist() + t.column("sb").to_pylist()).differ(np.arange(n), np.arange(n, 2 * n))
-            ok = _may_link(na[ok], nb[ok], differ, percent)
-            yield t.filter(pa.array(ok)).select(["a", "b"])
-
-    return run
-
-
 def _verified(width: int, percent: int):
     def run(batches):
         for batch in batches:
@@ -225,18 +212,18 @@ def _verified(width: int, percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of nodes of one run and different components that the bound allows; without those of the run's leader."""
+def _near(percent: int, star: bool):
+    """Pairs of nodes of one run that the bound allows: those of its leader, or those of different components.
+
+    Gets the runs of one deal and, once each, the nodes in them.
+    """
 
-    def run(key, table):
-        node, at = np.unique(table.column("node").to_numpy(), return_inverse=True)
-        first = np.unique(at, return_index=True)[1]
-        sketches = _Sketches(table.column("sketch").take(pa.array(first)).to_pylist())
-        n, comp = table.column("n").to_numpy()[first], table.column("comp").to_numpy()[first]
-        order = np.lexsort((at, table.column("sig").to_numpy()))
-        sig, at = table.column("sig").to_numpy()[order], at[order]
-        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
-        size = np.diff(edge)
+    def run(key, runs, nodes):
+        order = np.argsort(nodes.column("node").to_numpy())
+        nodes = nodes.take(pa.array(order))
+        node, n, comp = (nodes.column(c).to_numpy() for c in ("node", "n", "comp"))
+        sketches = _Sketches(nodes.column("sketch").to_pylist())
+        at = np.searchsorted(node, runs.column("node").to_numpy())
         held, found, rows = [], [], 0
 
         def settle():
@@ -257,17 +244,32 @@ def _across(percent: int):
                 settle()
                 rows = 0
 
-        for m in np.unique(size):
-            starts = edge[:-1][size == m]
-            if m <= 64:
-                i, j = np.triu_indices(m, 1)
-                for k in range(0, len(starts), max(1, 1_000_000 // max(1, len(i)))):
-                    s = starts[k : k + max(1, 1_000_000 // max(1, len(i)))][:, None]
-                    take(at[s + i].ravel(), at[s + j].ravel())
-            else:
-                for s in starts:
-                    for k in range(s, s + m - 1):
-                        take(np.full(s + m - 1 - k, at[k]), at[k + 1 : s + m])
+        if star:
+            take(np.searchsorted(node, runs.column("leader").to_numpy()), at)
+        else:
+            sig = runs.column("sig").to_numpy()
+            order = np.lexsort((at, sig))
+            sig, at = sig[order], at[order]
+            edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, np.int64)
+            size = np.diff(edge)
+            # runs of one component need nothing more; of runs of the same sets one is enough
+            low, high = np.minimum.reduceat(comp[at], edge[:-1]), np.maximum.reduceat(comp[at], edge[:-1])
+            mark = np.add.reduceat(mix(node[at].view(U64)), edge[:-1])
+            first = np.zeros(len(size), bool)
+            first[np.unique(mark + size.astype(U64), return_index=True)[1]] = True
+            first &= low != high
+            for m in np.unique(size[first]):
+                starts = edge[:-1][first & (size == m)]
+                if m <= 64:
+                    i, j = np.triu_indices(m, 1)
+                    most = max(1, 1_000_000 // max(1, len(i)))
+                    for k in range(0, len(starts), most):
+                        s = starts[k : k + most][:, None]
+                        take(at[s + i].ravel(), at[s + j].ravel())
+                else:
+                    for s in starts:
+                        for k in range(s, s + m - 1):
+                            take(np.full(s + m - 1 - k, at[k]), at[k + 1 : s + m])
         if held:
             settle()
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
@@ -292,26 +294,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     bits = max(3, int(np.ceil(np.log2(max(1, 1.3 * total / BUCKET_SIGNATURES)))))
     runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs", release=True)
 
-    wanted = runs.select("node").union(runs.select("leader")).distinct()
-    reps = nodes.join(wanted, "node").where("rep is not null").select("node", F.col("rep").alias("doc_id"))
+    deals = max(8, -(-runs.count() // DEAL_ROWS))
+    runs = runs.withColumn("deal", F.pmod("sig", F.lit(deals)))
+    members = stored(runs.select("deal", "node").union(runs.select("deal", "leader")).distinct(), "members")
+    reps = nodes.join(members.select("node").distinct(), "node").where("rep is not null").select("node", F.col("rep").alias("doc_id"))
     texts = stored(docs.join(reps, "doc_id").select("node", "text"), "texts", release=True)
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    def links(comp: DataFrame | None, name: str) -> DataFrame:
+        """Verified pairs of leaders, or between the components so far."""
+        known = members.join(nodes.select("node", "n", "sketch"), "node")
+        known = known.withColumn("comp", F.col("node")) if comp is None else known.join(comp, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+        near = runs.groupBy("deal").cogroup(known.groupBy("deal")).applyInArrow(_near(percent, comp is None), "a long, b long").distinct()
         text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-        near = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long"), f"near-{name}")
-        return stored(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(width, percent), "a long, b long").distinct(), f"links-{name}")
-
-    first = links(runs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    comp = stored(components(first), "comp")
-    label = lambda x: comp.select(F.col("node").alias(x), F.col("label").alias(f"{x}_comp"))
-    seen = runs.join(label("node"), "node", "left").join(label("leader"), "leader", "left").withColumn("comp", F.coalesce("node_comp", "node")).withColumn("top", F.coalesce("leader_comp", "leader"))
-    # runs of the same sets give the same pairs: one of them is enough
-    same = seen.groupBy("sig").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_ = same.where("members > 1 and low <> high").groupBy("mark", "members").agg(F.min("sig").alias("sig")).select("sig")
-    left = seen.join(open_, "sig").select("sig", "node", "comp").join(nodes.select("node", "n", "sketch"), "node")
-    more = left.withColumn("deal", F.pmod("sig", F.lit(2**bits * 16))).groupBy("deal").applyInArrow(_across(percent), "a long, b long").distinct()
-    edges = first.union(links(more, "across"))
+        near = stored(near, f"near-{name}", release=True)
+        return stored(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(width, percent), "a long, b long").distinct(), f"links-{name}", release=True)
+
+    first = links(None, "star")
+    edges = first.union(links(stored(components(first), "comp"), "across"))
     last = components(edges)
     named = nodes.select("node", "rep").join(last, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
