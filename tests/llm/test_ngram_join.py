@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from tracelake.llm import ngram_join
 from tracelake.llm.ngram_join import jaccard_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,8 +55,12 @@ def corpus(seed):
     return list(zip(ids, rows, strict=True))
 
 
-def test_brute_force(spark):
-    for seed in (1,):
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_brute_force(spark, monkeypatch, crowd):
+    """With a small CROWD, nearly all runs go through the blocks."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "BLOCK", 512 if crowd > 1 else 8)
+    for seed in (crowd,):
         rows = corpus(seed)
         docs = spark.createDataFrame([(*x, "extra", 1) for x in rows], "doc_id long, text string, node string, sig int").repartition(3)
         got = sorted(map(tuple, jaccard_components(docs).collect()))

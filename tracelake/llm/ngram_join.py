@@ -17,7 +17,9 @@ adds pairs that the bound and the texts turn down.  A run of one signature first
 of a leader with the others; pairs survive an exact bound (parity sketches: the
 number of differing bits can't exceed the difference of the sets) and are verified on the
 texts.  Only runs that still hold several components then give further pairs, between
-components, filtered by the same bound before they leave the task.
+components, filtered by the same bound before they leave the task.  Sets in large runs, such as
+texts that share half of their words with many others, are compared as a crowd: in blocks
+of words of 64 bits, each two blocks once.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from .common import U64, mix, shingles, slices, stored
 from .components import components
 
 BUCKET_SIGNATURES = 3_000_000
-DEAL_ROWS = 1_000_000
-LEADERS = 4
+DEAL_ROWS = 500_000
+CROWD, BLOCK = 64, 512
+PAIR = "a long, b long"
+LEADERS = 2
 SETS = "doc_id long, n_shingles long, node long, sketch binary"
 PACKED = "bucket int, sigs binary, nodes binary, times binary"
 
@@ -165,30 +169,40 @@ def _runs(key, table):
     keep[1:] = new[1:] | (node[1:] != node[:-1])
     keep &= node != leader
     run = (U64(key[0].as_py()) << U64(32)) | sig[keep].astype(U64)
-    return pa.table({"sig": run.view(np.int64), "leader": leader[keep], "node": node[keep]})
+    number = np.cumsum(new) - 1
+    members = np.bincount(number[keep], minlength=new.sum()) if len(sig) else number
+    return pa.table({"sig": run.view(np.int64), "leader": leader[keep], "node": node[keep], "members": members[number[keep]].astype(np.int32)})
 
 
 class _Sketches:
-    """Sketches of some sets, folded to every shorter width that is needed."""
+    """Sketches of some sets, as rows of 64-bit words for each width."""
 
     def __init__(self, sketches: list[bytes]):
         self.width = np.array([len(s) for s in sketches], np.int64)
-        self.base = np.concatenate([[0], np.cumsum(self.width)])
-        self.data = np.frombuffer(b"".join(sketches), np.uint8)
+        self.row = np.zeros(len(sketches), np.int64)
+        self.rows = {}
+        for w in np.unique(self.width).tolist():
+            k = np.flatnonzero(self.width == w)
+            self.row[k] = np.arange(len(k))
+            self.rows[w] = np.frombuffer(b"".join(sketches[i] for i in k), U64).reshape(len(k), w // 8)
+
+    def folded(self, k: np.ndarray, w: int, n: int) -> np.ndarray:
+        """Words of sets of width w, folded to width n."""
+        x = self.rows[w][self.row[k]]
+        return np.bitwise_xor.reduce(x.reshape(len(k), w // n, n // 8), 1) if w > n else x
 
     def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Differing bits of pairs, the longer sketch folded to the shorter's length."""
         out = np.empty(len(a), np.int64)
-        wide, narrow = np.maximum(self.width[a], self.width[b]), np.minimum(self.width[a], self.width[b])
-        swap = self.width[a] < self.width[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        for w, n in set(zip(wide.tolist(), narrow.tolist(), strict=True)):
-            k = np.flatnonzero((wide == w) & (narrow == n))
-            for i in range(0, len(k), max(1, (1 << 24) // w)):
-                part = k[i : i + max(1, (1 << 24) // w)]
-                x = self.data[self.base[a[part]][:, None] + np.arange(w)].reshape(len(part), -1, n)
-                y = self.data[self.base[b[part]][:, None] + np.arange(n)]
-                out[part] = np.bitwise_count(np.bitwise_xor.reduce(x, 1) ^ y).sum(1, dtype=np.int64)
+        wa, wb = self.width[a], self.width[b]
+        for key in np.unique(wa * (1 << 32) + wb).tolist():
+            x, y = key >> 32, key & ((1 << 32) - 1)
+            n = min(x, y)
+            k = np.flatnonzero((wa == x) & (wb == y))
+            most = max(1, (1 << 22) // max(x, y))
+            for i in range(0, len(k), most):
+                part = k[i : i + most]
+                out[part] = np.bitwise_count(self.folded(a[part], x, n) ^ self.folded(b[part], y, n)).sum(1, dtype=np.int64)
         return out
 
 
@@ -240,7 +254,7 @@ def _near(percent: int, star: bool):
             ok = comp[a] != comp[b]
             held.append(a[ok] * len(node) + b[ok])
             rows += ok.sum()
-            if rows > 2_000_000:
+            if rows > 500_000:
                 settle()
                 rows = 0
 
@@ -260,16 +274,11 @@ def _near(percent: int, star: bool):
             first &= low != high
             for m in np.unique(size[first]):
                 starts = edge[:-1][first & (size == m)]
-                if m <= 64:
-                    i, j = np.triu_indices(m, 1)
-                    most = max(1, 1_000_000 // max(1, len(i)))
-                    for k in range(0, len(starts), most):
-                        s = starts[k : k + most][:, None]
-                        take(at[s + i].ravel(), at[s + j].ravel())
-                else:
-                    for s in starts:
-                        for k in range(s, s + m - 1):
-                            take(np.full(s + m - 1 - k, at[k]), at[k + 1 : s + m])
+                i, j = np.triu_indices(m, 1)
+                most = max(1, 200_000 // max(1, len(i)))
+                for k in range(0, len(starts), most):
+                    s = starts[k : k + most][:, None]
+                    take(at[s + i].ravel(), at[s + j].ravel())
         if held:
             settle()
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
@@ -278,6 +287,33 @@ def _near(percent: int, star: bool):
     return run
 
 
+def _blocks(percent: int):
+    """Pairs that the bound allows between two blocks of a crowd's nodes, of different components."""
+
+    def run(key, t):
+        i, j = key[1].as_py(), key[2].as_py()
+        block, node, n, comp = (t.column(c).to_numpy() for c in ("block", "node", "n", "comp"))
+        sketches = _Sketches(t.column("sketch").to_pylist())
+        found = []
+        for x in sketches.rows:
+            a = np.flatnonzero((block == i) & (sketches.width == x))
+            for y in sketches.rows:
+                b = np.flatnonzero((block == j) & (sketches.width == y))
+                w = min(x, y)
+                right = sketches.folded(b, y, w)
+                for k in range(0, len(a) if len(b) else 0, 64):
+                    part = a[k : k + 64]
+                    differ = np.bitwise_count(sketches.folded(part, x, w)[:, None] ^ right[None]).sum(2, dtype=np.int64)
+                    ok = _may_link(n[part][:, None], n[b][None], differ, percent) & (comp[part][:, None] != comp[b][None])
+                    p, q = np.nonzero(ok)
+                    found.append(np.column_stack([node[part[p]], node[b[q]]]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        low, high = pairs.min(1, initial=2**63 - 1), pairs.max(1, initial=-(2**63))
+        return pa.table({"a": low[low < high], "b": high[low < high]})
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """Links texts whose shingle sets have a Jaccard similarity of at least percent / 100.
 
@@ -292,7 +328,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     total, largest = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     bits = max(3, int(np.ceil(np.log2(max(1, 1.3 * total / BUCKET_SIGNATURES)))))
-    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs", release=True)
+    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long, members int"), "runs", release=True)
 
     deals = max(8, -(-runs.count() // DEAL_ROWS))
     runs = runs.withColumn("deal", F.pmod("sig", F.lit(deals)))
@@ -300,17 +336,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     reps = nodes.join(members.select("node").distinct(), "node").where("rep is not null").select("node", F.col("rep").alias("doc_id"))
     texts = stored(docs.join(reps, "doc_id").select("node", "text"), "texts", release=True)
 
-    def links(comp: DataFrame | None, name: str) -> DataFrame:
-        """Verified pairs of leaders, or between the components so far."""
-        known = members.join(nodes.select("node", "n", "sketch"), "node")
-        known = known.withColumn("comp", F.col("node")) if comp is None else known.join(comp, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        near = runs.groupBy("deal").cogroup(known.groupBy("deal")).applyInArrow(_near(percent, comp is None), "a long, b long").distinct()
+    def known(comp: DataFrame | None) -> DataFrame:
+        rows = nodes.select("node", "n", "sketch")
+        return rows.withColumn("comp", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+
+    def in_runs(of: DataFrame, comp: DataFrame | None) -> DataFrame:
+        near = of.select("deal", "sig", "leader", "node").groupBy("deal").cogroup(members.join(known(comp), "node").groupBy("deal"))
+        return near.applyInArrow(_near(percent, comp is None), PAIR)
+
+    def in_crowds(comp: DataFrame) -> DataFrame:
+        """Sets in runs of more than CROWD members meet their crowd in blocks, each two blocks once, whatever number of runs they share."""
+        crowd = components(runs.where(F.col("members") > CROWD).select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        one = crowd.withColumnRenamed("label", "crowd").join(known(comp), "node")
+        size = one.groupBy("crowd").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("crowd", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        one = one.join(size, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        pair = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        return pair.select("crowd", "i", "j", "block", "node", "n", "comp", "sketch").groupBy("crowd", "i", "j").applyInArrow(_blocks(percent), PAIR)
+
+    def links(near: DataFrame, name: str) -> DataFrame:
         text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-        near = stored(near, f"near-{name}", release=True)
-        return stored(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(width, percent), "a long, b long").distinct(), f"links-{name}", release=True)
+        near = stored(near.distinct(), f"near-{name}", release=True)
+        return stored(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(width, percent), PAIR).distinct(), f"links-{name}", release=True)
 
-    first = links(None, "star")
-    edges = first.union(links(stored(components(first), "comp"), "across"))
+    first = links(in_runs(runs, None), "star")
+    comp = stored(components(first), "comp")
+    edges = first.union(links(in_runs(runs.where(F.col("members") <= CROWD), comp).union(in_crowds(comp)), "across"))
     last = components(edges)
     named = nodes.select("node", "rep").join(last, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
