@@ -60,6 +60,7 @@ def test_brute_force(spark, monkeypatch, crowd):
     """With a small CROWD, nearly all runs go through the blocks."""
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
     monkeypatch.setattr(ngram_join, "BLOCK", 512 if crowd > 1 else 8)
+    monkeypatch.setattr(ngram_join, "POPULAR", 0.005 if crowd > 1 else 0.05)
     for seed in (crowd,):
         rows = corpus(seed)
         docs = spark.createDataFrame([(*x, "extra", 1) for x in rows], "doc_id long, text string, node string, sig int").repartition(3)

@@ -8,9 +8,13 @@ three parts each.  By the pigeonhole principle one partition holds at most one d
 element, so two of its three parts agree, and the signature of these two parts is shared:
 each set has signatures for every subset of two parts, for its own band and the next one.
 
+Shingles of passages that many documents share would put all of these into one run.  Leaving some elements out
+of the domain keeps the guarantee, so popular shingles are left out first.
+
 Subsets of parts that are empty in a set would collide for all sets.  With z spare
 partitions, a set that has at most z partitions with an empty subset needs no signature
-for them; the few other sets keep theirs.  So no link is lost.
+for them; the few other sets, such as those that are mostly popular shingles, have signatures over the whole domain as well.
+So no link is lost.
 
 Signatures travel packed, dealt by their high bits, with 32 more bits; that some runs meet by chance
 adds pairs that the bound and the texts turn down.  A run of one signature first gives pairs
@@ -36,7 +40,8 @@ DEAL_ROWS = 500_000
 CROWD, BLOCK = 64, 512
 PAIR = "a long, b long"
 LEADERS = 2
-SETS = "doc_id long, n_shingles long, node long, sketch binary"
+SETS = "doc_id long, n_shingles long, node long, sketch binary, often array<struct<f: long, n: long>>"
+POPULAR = 0.005  # share of the documents that makes a shingle a popular one
 PACKED = "bucket int, sigs binary, nodes binary, times binary"
 
 
@@ -50,7 +55,7 @@ class Bands:
             high = low * 100 // percent
             k = 2 * high * (100 - percent) // (100 + percent)
             base = k // 2 + 1
-            mean = base * 3 * np.exp(-2 / 3 * low / base)
+            mean = base * 3 * np.exp(-2 / 3 * 0.9 * low / base)
             z = int(np.ceil(1.2 * mean + 2 * np.sqrt(mean))) if base >= 16 else 0
             lows.append(low)
             n1.append(base + z)
@@ -80,17 +85,18 @@ def sketches(f: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [packed[base[i] // 8 : base[i + 1] // 8] for i in range(len(sizes))]
 
 
-def signatures(f: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, number of the set) for the sets' own bands and the next ones."""
-    out, who = [], []
+def _scheme(f: np.ndarray, owner_of: np.ndarray, sizes: np.ndarray, bands: Bands, salt0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures over the elements f of the sets owner_of, banded by the sets' whole sizes: (signature, set, whether its
+    set has more partitions with an empty subset than are spare, whether the subset is empty)."""
+    out = []
     for step in (0, 1):
         band = bands.of(sizes) + step
         n1 = bands.n1[band]
         base = np.concatenate([[0], np.cumsum(3 * n1)])
         x = mix(f ^ U64(0xA5A5A5A5A5A5A5A5))
-        part = ((x >> U64(32)) * np.repeat(n1, sizes).astype(U64) >> U64(32)).astype(np.int64)
+        part = ((x >> U64(32)) * n1[owner_of].astype(U64) >> U64(32)).astype(np.int64)
         third = ((x & U64(0xFFFFFFFF)) * U64(3) >> U64(32)).astype(np.int64)
-        at = np.repeat(base[:-1], sizes) + 3 * part + third
+        at = base[owner_of] + 3 * part + third
         v = mix(f ^ U64(0x5851F42D4C957F2D))
         total = np.bincount(at, (v & U64(0xFFFFFFFF)).astype(np.float64), base[-1]).astype(U64)
         total += np.bincount(at, (v >> U64(32)).astype(np.float64), base[-1]).astype(U64) << U64(32)
@@ -98,13 +104,37 @@ def signatures(f: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarr
         sums, empty = total.sum(1, keepdims=True) - total, have.sum(1, keepdims=True) == have
         owner = np.repeat(np.arange(len(sizes)), n1)
         number = np.arange(len(owner)) - np.repeat(base[:-1] // 3, n1)
-        lacking = np.bincount(owner, empty.any(1), len(sizes))
-        keep = ~empty | (lacking > bands.spare[band])[owner][:, None]
-        salt = (band[owner].astype(U64) << U64(40)) + (number.astype(U64) << U64(2))
+        short = (np.bincount(owner, empty.any(1), len(sizes)) > bands.spare[band])[owner]
+        salt = (band[owner].astype(U64) << U64(40)) + (number.astype(U64) << U64(2)) + (U64(salt0) << U64(60))
         sig = mix(mix(salt[:, None] + np.arange(3, dtype=U64)) + sums)
+        wide = lambda c: np.broadcast_to(c[:, None], sig.shape).ravel()
+        out.append((sig.ravel(), wide(owner), wide(short), empty.ravel()))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def signatures(f: np.ndarray, sizes: np.ndarray, bands: Bands, popular: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, number of the set) for the sets' own bands and the next ones.
+
+    First without the popular elements: sets that differ in at most k elements differ in at most k of the others too.
+    Sets for which the spare partitions don't cover the empty subsets then have signatures over all elements as well,
+    and those for which they don't even then have the empty ones too.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.searchsorted(popular, f)
+    rare = popular[np.minimum(at, len(popular) - 1)] != f if len(popular) else np.ones(len(f), bool)
+    sig, who, short, empty = _scheme(f[rare], owner[rare], sizes, bands, 0)
+    out, names = [sig[~empty]], [who[~empty]]
+    again = np.zeros(len(sizes), bool)
+    again[who[short]] = True
+    if again.any():
+        k = np.flatnonzero(again)
+        number = np.cumsum(again) - 1
+        mine = again[owner]
+        sig, who, short, empty = _scheme(f[mine], number[owner[mine]], sizes[k], bands, 1)
+        keep = ~empty | short
         out.append(sig[keep])
-        who.append(np.broadcast_to(owner[:, None], sig.shape)[keep])
-    return np.concatenate(out), np.concatenate(who)
+        names.append(k[who[keep]])
+    return np.concatenate(out), np.concatenate(names)
 
 
 def _sets(width: int):
@@ -112,12 +142,15 @@ def _sets(width: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 f, _, sizes = shingles(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(node_ids(f, sizes).view(np.int64)), pa.array(sketches(f, sizes), pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+                seen, n = np.unique(f, return_counts=True)
+                often = n >= max(4, POPULAR / 2 * part.num_rows)  # a popular shingle is so in many slices
+                often = [[{"f": int(a), "n": int(b)} for a, b in zip(seen[often].view(np.int64), n[often], strict=True)]] + [None] * (part.num_rows - 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(node_ids(f, sizes).view(np.int64)), pa.array(sketches(f, sizes), pa.binary()), pa.array(often, pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))], ["doc_id", "n_shingles", "node", "sketch", "often"])
 
     return run
 
 
-def _signed(width: int, percent: int, largest: int, bits: int):
+def _signed(width: int, percent: int, largest: int, bits: int, popular):
     def run(batches):
         bands = Bands(largest, percent)
         for batch in batches:
@@ -129,8 +162,8 @@ def _signed(width: int, percent: int, largest: int, bits: int):
                 one &= sizes > 0
                 if not one.any():
                     continue
-                sig, who = signatures(f[one[d]], sizes[one], bands)
-                order = np.argsort(sig >> U64(64 - bits), kind="stable")
+                sig, who = signatures(f[one[d]], sizes[one], bands, popular.value)
+                order = np.lexsort((who, sig >> U64(64 - bits)))
                 sig, who = sig[order], who[order]
                 rest = (sig << U64(bits) >> U64(32)).astype(np.uint32)
                 cut = np.searchsorted(sig >> U64(64 - bits), np.arange(2**bits + 1, dtype=U64))
@@ -327,8 +360,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     sets = stored(docs.mapInArrow(_sets(width), SETS), "sets")
     nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     total, largest = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    # at most (shingles of a document on average) / POPULAR of them can be popular, whatever the number of documents
+    often = sets.where("often is not null").select(F.inline("often")).groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(POPULAR * sets.count())).select("f")
+    popular = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.f for r in often.collect()], np.int64).view(U64)))
     bits = max(3, int(np.ceil(np.log2(max(1, 1.3 * total / BUCKET_SIGNATURES)))))
-    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long, members int"), "runs", release=True)
+    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits, popular), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long, members int"), "runs", release=True)
 
     deals = max(8, -(-runs.count() // DEAL_ROWS))
     runs = runs.withColumn("deal", F.pmod("sig", F.lit(deals)))
