@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _BYTE, _COEF, U64, flat, mix, slices
+from .common import U64, flat, slices
 
 Q = 8
 BLOCK_BYTES = 4 << 20
@@ -29,16 +29,20 @@ _FOLD[65:91] += 32
 
 def letters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of letters and digits (and of all characters beyond ASCII), A-Z folded, with the texts' new offsets."""
-    keep = _LETTER[data]
-    total = np.concatenate([[0], np.cumsum(keep)])
-    return _FOLD[data[keep]], total[off]
+    kept = np.flatnonzero(_LETTER[data])
+    return _FOLD[data[kept]], np.searchsorted(kept, off)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    total = np.zeros(max(0, len(data) - Q + 1), U64)
-    for j in range(Q):
-        total += _BYTE[data[j : j + len(total)]] * _COEF[j]
-    return mix(total)
+    """The Q bytes from each place on, as one integer (Q is 8)."""
+    if len(data) < Q:
+        return np.zeros(0, U64)
+    data = np.ascontiguousarray(data)
+    return np.ndarray((len(data) - Q + 1,), "<u8", data, strides=(1,))
+
+
+def _slot(g: np.ndarray) -> np.ndarray:
+    return (g * U64(0x9E3779B97F4A7C15)) >> U64(42)
 
 
 def edits_allowed(length, percent: int):
@@ -98,7 +102,7 @@ class Index:
         order = np.argsort(g, kind="stable")
         self.grams, self.who, self.at = g[order], self.who[order], self.at[order]
         self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.grams >> U64(42)).astype(np.int64)] = True
+        self.seen[_slot(self.grams)] = True
         self.length = np.array([len(t) for t in self.texts], np.int64)
         self.edits = edits_allowed(self.length, percent)
         self.bound = np.maximum(1, self.length - Q + 1 - Q * self.edits)
@@ -109,7 +113,7 @@ class Index:
         if not len(self.texts) or len(data) < Q:
             return []
         h = grams(data)
-        place = np.flatnonzero(self.seen[(h >> U64(42)).astype(np.int64)])
+        place = np.flatnonzero(self.seen[_slot(h)])
         left = np.searchsorted(self.grams, h[place], "left")
         count = np.searchsorted(self.grams, h[place], "right") - left
         hit = np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
