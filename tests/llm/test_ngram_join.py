@@ -57,9 +57,8 @@ def corpus(seed):
 
 @pytest.mark.parametrize("crowd", [64, 1])
 def test_brute_force(spark, monkeypatch, crowd):
-    """With a small CROWD, nearly all runs go through the blocks."""
+    """With a small CROWD, nearly all runs are compared as crowds; the share makes more or fewer shingles popular."""
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
-    monkeypatch.setattr(ngram_join, "BLOCK", 512 if crowd > 1 else 8)
     monkeypatch.setattr(ngram_join, "POPULAR", 0.005 if crowd > 1 else 0.05)
     for seed in (crowd,):
         rows = corpus(seed)

@@ -21,9 +21,8 @@ adds pairs that the bound and the texts turn down.  A run of one signature first
 of a leader with the others; pairs survive an exact bound (parity sketches: the
 number of differing bits can't exceed the difference of the sets) and are verified on the
 texts.  Only runs that still hold several components then give further pairs, between
-components, filtered by the same bound before they leave the task.  Sets in large runs, such as
-texts that share half of their words with many others, are compared as a crowd: in blocks
-of words of 64 bits, each two blocks once.
+components, filtered by the same bound before they leave the task; in large runs only sets
+outside the largest component are compared with the others.
 """
 
 from __future__ import annotations
@@ -37,11 +36,11 @@ from .components import components
 
 BUCKET_SIGNATURES = 3_000_000
 DEAL_ROWS = 500_000
-CROWD, BLOCK = 64, 512
+CROWD = 64
 PAIR = "a long, b long"
 LEADERS = 2
 SETS = "doc_id long, n_shingles long, node long, sketch binary, often array<struct<f: long, n: long>>"
-POPULAR = 0.005  # share of the documents that makes a shingle a popular one
+POPULAR = 0.0005  # share of the documents that makes a shingle a popular one
 PACKED = "bucket int, sigs binary, nodes binary, times binary"
 
 
@@ -138,14 +137,23 @@ def signatures(f: np.ndarray, sizes: np.ndarray, bands: Bands, popular: np.ndarr
 
 
 def _sets(width: int):
+    """A row a document, and one a batch with the shingles that came often in it."""
+    kinds = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("often", pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))]
+
+    def made(*columns):
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)], [name for name, _ in kinds])
+
     def run(batches):
         for batch in batches:
+            held = []
             for part in slices(batch, "text"):
                 f, _, sizes = shingles(part.column(1), width)
-                seen, n = np.unique(f, return_counts=True)
-                often = n >= max(4, POPULAR / 2 * part.num_rows)  # a popular shingle is so in many slices
-                often = [[{"f": int(a), "n": int(b)} for a, b in zip(seen[often].view(np.int64), n[often], strict=True)]] + [None] * (part.num_rows - 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(node_ids(f, sizes).view(np.int64)), pa.array(sketches(f, sizes), pa.binary()), pa.array(often, pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))], ["doc_id", "n_shingles", "node", "sketch", "often"])
+                held.append(f)
+                yield made(part.column(0), sizes, node_ids(f, sizes).view(np.int64), sketches(f, sizes), [None] * part.num_rows)
+            seen, n = np.unique(np.concatenate(held or [np.zeros(0, U64)]), return_counts=True)
+            often = n >= max(3, POPULAR / 2 * batch.num_rows)  # a popular shingle is so in many batches
+            if often.any():
+                yield made([None], [0], [0], [b""], [[{"f": int(a), "n": int(b)} for a, b in zip(seen[often].view(np.int64), n[often], strict=True)]])
 
     return run
 
@@ -202,9 +210,7 @@ def _runs(key, table):
     keep[1:] = new[1:] | (node[1:] != node[:-1])
     keep &= node != leader
     run = (U64(key[0].as_py()) << U64(32)) | sig[keep].astype(U64)
-    number = np.cumsum(new) - 1
-    members = np.bincount(number[keep], minlength=new.sum()) if len(sig) else number
-    return pa.table({"sig": run.view(np.int64), "leader": leader[keep], "node": node[keep], "members": members[number[keep]].astype(np.int32)})
+    return pa.table({"sig": run.view(np.int64), "leader": leader[keep], "node": node[keep]})
 
 
 class _Sketches:
@@ -291,6 +297,22 @@ def _near(percent: int, star: bool):
                 settle()
                 rows = 0
 
+        def crowd(all_):
+            """A large run: those outside its largest component against all, as a matrix of words."""
+            kinds, which, n_of = np.unique(comp[all_], return_inverse=True, return_counts=True)
+            out = all_[which != n_of.argmax()]
+            for x in np.unique(sketches.width[out]).tolist():
+                a = out[sketches.width[out] == x]
+                for y in np.unique(sketches.width[all_]).tolist():
+                    b, w = all_[sketches.width[all_] == y], min(x, y)
+                    right = sketches.folded(b, y, w)
+                    most = max(1, (1 << 19) // max(1, right.size))
+                    for k in range(0, len(a), most):
+                        part = a[k : k + most]
+                        differ = np.bitwise_count(sketches.folded(part, x, w)[:, None] ^ right[None]).sum(2, dtype=np.int64)
+                        i, j = np.nonzero(_may_link(n[part][:, None], n[b][None], differ, percent) & (comp[part][:, None] != comp[b][None]))
+                        found.append(np.unique(np.minimum(part[i], b[j]) * len(node) + np.maximum(part[i], b[j])))
+
         if star:
             take(np.searchsorted(node, runs.column("leader").to_numpy()), at)
         else:
@@ -305,7 +327,9 @@ def _near(percent: int, star: bool):
             first = np.zeros(len(size), bool)
             first[np.unique(mark + size.astype(U64), return_index=True)[1]] = True
             first &= low != high
-            for m in np.unique(size[first]):
+            for s in edge[:-1][first & (size > CROWD)]:
+                crowd(at[s : s + size[np.searchsorted(edge, s)]])
+            for m in np.unique(size[first & (size <= CROWD)]):
                 starts = edge[:-1][first & (size == m)]
                 i, j = np.triu_indices(m, 1)
                 most = max(1, 200_000 // max(1, len(i)))
@@ -320,33 +344,6 @@ def _near(percent: int, star: bool):
     return run
 
 
-def _blocks(percent: int):
-    """Pairs that the bound allows between two blocks of a crowd's nodes, of different components."""
-
-    def run(key, t):
-        i, j = key[1].as_py(), key[2].as_py()
-        block, node, n, comp = (t.column(c).to_numpy() for c in ("block", "node", "n", "comp"))
-        sketches = _Sketches(t.column("sketch").to_pylist())
-        found = []
-        for x in sketches.rows:
-            a = np.flatnonzero((block == i) & (sketches.width == x))
-            for y in sketches.rows:
-                b = np.flatnonzero((block == j) & (sketches.width == y))
-                w = min(x, y)
-                right = sketches.folded(b, y, w)
-                for k in range(0, len(a) if len(b) else 0, 64):
-                    part = a[k : k + 64]
-                    differ = np.bitwise_count(sketches.folded(part, x, w)[:, None] ^ right[None]).sum(2, dtype=np.int64)
-                    ok = _may_link(n[part][:, None], n[b][None], differ, percent) & (comp[part][:, None] != comp[b][None])
-                    p, q = np.nonzero(ok)
-                    found.append(np.column_stack([node[part[p]], node[b[q]]]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        low, high = pairs.min(1, initial=2**63 - 1), pairs.max(1, initial=-(2**63))
-        return pa.table({"a": low[low < high], "b": high[low < high]})
-
-    return run
-
-
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """Links texts whose shingle sets have a Jaccard similarity of at least percent / 100.
 
@@ -357,14 +354,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     come.  An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = stored(docs.mapInArrow(_sets(width), SETS), "sets")
+    both = stored(docs.mapInArrow(_sets(width), SETS), "sets")
+    sets = both.where("often is null").drop("often")
     nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     total, largest = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     # at most (shingles of a document on average) / POPULAR of them can be popular, whatever the number of documents
-    often = sets.where("often is not null").select(F.inline("often")).groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(POPULAR * sets.count())).select("f")
+    often = both.where("often is not null").select(F.inline("often")).groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(POPULAR * sets.count())).select("f")
     popular = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.f for r in often.collect()], np.int64).view(U64)))
     bits = max(3, int(np.ceil(np.log2(max(1, 1.3 * total / BUCKET_SIGNATURES)))))
-    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits, popular), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long, members int"), "runs", release=True)
+    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits, popular), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs", release=True)
 
     deals = max(8, -(-runs.count() // DEAL_ROWS))
     runs = runs.withColumn("deal", F.pmod("sig", F.lit(deals)))
@@ -380,15 +378,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
         near = of.select("deal", "sig", "leader", "node").groupBy("deal").cogroup(members.join(known(comp), "node").groupBy("deal"))
         return near.applyInArrow(_near(percent, comp is None), PAIR)
 
-    def in_crowds(comp: DataFrame) -> DataFrame:
-        """Sets in runs of more than CROWD members meet their crowd in blocks, each two blocks once, whatever number of runs they share."""
-        crowd = components(runs.where(F.col("members") > CROWD).select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        one = crowd.withColumnRenamed("label", "crowd").join(known(comp), "node")
-        size = one.groupBy("crowd").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("crowd", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        one = one.join(size, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        pair = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        return pair.select("crowd", "i", "j", "block", "node", "n", "comp", "sketch").groupBy("crowd", "i", "j").applyInArrow(_blocks(percent), PAIR)
-
     def links(near: DataFrame, name: str) -> DataFrame:
         text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
         near = stored(near.distinct(), f"near-{name}", release=True)
@@ -396,7 +385,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
 
     first = links(in_runs(runs, None), "star")
     comp = stored(components(first), "comp")
-    edges = first.union(links(in_runs(runs.where(F.col("members") <= CROWD), comp).union(in_crowds(comp)), "across"))
+    edges = first.union(links(in_runs(runs, comp), "across"))
     last = components(edges)
     named = nodes.select("node", "rep").join(last, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
