@@ -83,3 +83,44 @@ def test_recordings(spark):
     assert media.recording_groups(df.limit(0)).collect() == []
     same = spark.createDataFrame([rows[0], rows[0], (None, rows[0][1])], "id long, audio binary")
     assert sorted((r.id or -1, r.group_id) for r in media.recording_groups(same).collect()) == [(-1, 10), (10, 10), (10, 10)]
+
+
+def test_recordings_with_shared_passages(spark):
+    """Passages that unrelated recordings share hide no link; every pair and offset by brute force."""
+    near = lambda n, seed: words(n, 1000 + seed)
+    p1, p2, p3 = near(60, 1), near(60, 2), near(40, 3)
+    texts = {
+        1: near(300, 4) + p1 + near(300, 5),  # leads every key of p1
+        2: near(300, 6) + p2 + near(300, 7),
+        10: p1 + near(4, 8) + p2,
+        11: p1 + near(4, 9) + p2,
+        20: p3 + near(12, 10) + p3 + near(60, 11),  # a passage twice: only its second place agrees below
+        21: p3 + near(60, 11),
+        30: ["same"] * 200,
+        31: ["same"] * 120,
+    }
+    r = random.Random(3)
+    for i in range(40, 52):
+        texts[i] = [w for _ in range(4) for w in r.choice([p1, p2, p3, near(30, 100 + i), near(30, 200 + i % 3)])]
+    prints = {i: media.integers(media.melody(t)) for i, t in texts.items()}
+    label = {i: i for i in prints}
+    for i in prints:
+        for j in prints:
+            if i < j:
+                a, b = prints[i], prints[j]
+                ka, kb = ([(x[p], x[p + 1]) for p in range(len(x) - 1)] for x in (a, b))
+                for o in range(-len(kb), len(ka)):
+                    lo, hi = max(0, o), min(len(ka), len(kb) + o)
+                    n, e = media.bit_errors(a, b, o)
+                    if n >= media.OVERLAP and e <= media.ERRORS and sum(ka[p] == kb[p - o] for p in range(lo, hi)) >= media.VOTES:
+                        old, new = max(label[i], label[j]), min(label[i], label[j])
+                        label = {k: new if v == old else v for k, v in label.items()}
+                        break
+    assert label[1] == 1 and label[2] == 2 and label[11] == label[10] >= 10 and label[21] == label[20] and label[31] == 30
+    df = spark.createDataFrame([(i, media.melody(t)) for i, t in texts.items()], "id long, audio binary")
+    assert {x.id: x.group_id for x in media.recording_groups(df).collect()} == label
+    media.SPLIT, kept = 7, media.SPLIT
+    try:
+        assert {x.id: x.group_id for x in media.recording_groups(df).collect()} == label
+    finally:
+        media.SPLIT = kept
