@@ -69,6 +69,12 @@ def merged(prints: DataFrame) -> DataFrame:
     return prints.groupBy("project_id", "canonical_path").agg(last("display_name"), union("aliases"), union("keywords"), last("languages"), last("category"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count_distinct("session_id").alias("session_count"), F.sum("edits").alias("total_edits"))
 
 
+def project_text() -> Column:
+    """Text of a merged project to embed."""
+    some = lambda label, c, n: F.concat(F.lit(f"{label}: "), F.array_join(F.slice(c, 1, n), ", "))
+    return F.concat_ws(" | ", "display_name", F.concat(F.lit("("), "category", F.lit(")")), some("Aliases", "aliases", 10), some("Keywords", "keywords", 20), F.concat(F.lit("Languages: "), F.array_join("languages", ", ")))
+
+
 def recency(last_seen: Column, now: Column) -> Column:
     days = F.greatest(F.lit(1.0), (now.cast("timestamp").cast("double") - last_seen.cast("timestamp").cast("double")) / 86400)
     return F.coalesce(F.greatest(F.lit(0.3), 1 - 0.15 * F.log10(F.floor(days) + 1)), F.lit(0.5))

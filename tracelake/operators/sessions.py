@@ -78,6 +78,17 @@ def outcomes(events: DataFrame) -> DataFrame:
     return out.select("session_id", "outcome", "confidence", "error_count", "fix_count", "test_pass_count", "test_fail_count", "first_error_event_id", "resolution_event_id", "summary")
 
 
+def session_text(events: DataFrame, outcome: DataFrame, roots: DataFrame, projects: DataFrame) -> DataFrame:
+    """(session_id, project_id, started_at, text) to embed: project, first question, outcome and files.  roots: (session_id, project_id)."""
+    asked = F.when((F.col("event_type") == "user_message") & (F.trim("content") != ""), F.col("sequence"))
+    s = events.groupBy("session_id").agg(F.min("ts").alias("started_at"), F.min_by(F.trim("content"), asked).alias("ask"), F.array_sort(F.collect_set("file_path")).alias("files"))
+    s = s.join(outcome.select("session_id", "outcome", "summary"), "session_id", "left").join(roots, "session_id", "left").join(projects.select("project_id", "display_name", "category", "keywords"), "project_id", "left")
+    say = lambda label, c: F.concat(F.lit(f"{label}: "), c)
+    some = lambda label, c, n: F.when(F.size(c) > 0, say(label, F.array_join(F.slice(c, 1, n), ", ")))
+    text = F.concat_ws(" | ", say("Project", F.col("display_name")), say("Category", F.col("category")), some("Keywords", "keywords", 10), say("Asked", F.substring("ask", 1, 300)), say("Outcome", F.col("outcome")), say("Summary", F.substring("summary", 1, 300)), some("Files", "files", 10))
+    return s.select("session_id", "project_id", "started_at", text.alias("text"))
+
+
 def statistics(events: DataFrame, outcome: DataFrame) -> DataFrame:
     """(name, value) counts over the tables, each table read once."""
     a = events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("session_id").alias("sessions"), _count("event_type = 'tool_call'").alias("tool_calls"), _count(F.col("file_operation").isin(rules.EDITS)).alias("file_edits"), _count("error_detected").alias("errors"))

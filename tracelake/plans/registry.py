@@ -404,18 +404,19 @@ def _asked(s, sf) -> DataFrame:
 @query()
 def j1_recall(s, sf):
     e = ev(s, sf)
-    eps, segs = G.episodes(e), H.segments(e, gap=GAP)
+    roots = _roots(e).select("session_id", P.project_id(F.col("project_path")).alias("project_id"))
+    eps, segs = G.episodes(e).join(roots, "session_id", "left").persist(), H.segments(e, gap=GAP).join(roots, "session_id", "left").persist()
     docs = G.episode_text(eps)
     embed = I.embedder(docs, size=64)
-    q = J.understood(_asked(s, sf))
-    vectors = embed(q.select("query_id", F.col("cleaned").alias("text"))).select("query_id", "vector")
-    near = I.nearest(embed(docs).select(F.col("episode_id").alias("id"), "vector"), vectors, 12).withColumnRenamed("id", "episode_id")
-    found = near.join(eps, "episode_id").withColumns({"in_project": F.lit(False), "has_fix": F.col("fix_event_id").isNotNull()}).drop("rank")
-    best = J.ranked(J.relaxed(found, 12), q, 3)
-    topics = embed(segs.select("segment_id", "session_id", "topic", F.col("summary").alias("text"))).select(F.col("segment_id").alias("id"), "session_id", "topic", "vector")
-    near_segments = I.nearest(topics, vectors, 3, extra=["session_id", "topic"])
-    none = near_segments.limit(0).withColumn("content", F.col("topic"))
-    return J.answers(q, J.gated(best), best, near_segments, none)
+    q = J.understood(_asked(s, sf)).persist()
+    q = q.join(embed(q.select("query_id", F.col("cleaned").alias("text"))).select("query_id", "vector"), "query_id", "left").persist()
+    eps = eps.join(embed(docs).select("episode_id", "vector"), "episode_id", "left").persist()
+    projects = embed(P.merged(_prints(s, sf)).withColumn("text", P.project_text())).drop("text").persist()
+    told = S.session_text(e, S.outcomes(e), roots, projects)
+    sessions = embed(told).select("session_id", "project_id", "started_at", "vector").persist()
+    topics = embed(segs.withColumn("text", F.col("summary"))).select("segment_id", "session_id", "project_id", "started_at", "topic", "vector").persist()
+    said = embed(e.where("event_type in ('user_message', 'assistant_text')").withColumn("text", F.col("content"))).select("event_id", "event_type", "session_id", "content", "vector").persist()
+    return J.recalled(q, projects, sessions, eps, topics, said)
 
 
 @query()
