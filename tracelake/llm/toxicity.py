@@ -6,15 +6,17 @@ for the token's ends): smoothed log odds of label 1, by hashed bucket.  In train
 document's own count is left out, so rare words do not give its label away.  The network reads overlapping windows; a document's score is its
 highest window's, and training takes the gradient through that window.
 
-The model is fitted on the driver from a bounded sample of labelled rows and has a fixed size; every whole
+The model is fitted in one task from a bounded sample of labelled rows and has a fixed size; every whole
 text is scored in the tasks.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import gru
 from .common import _BYTE, _COEF, U64, flat, mix, slices, word_hashes, words
@@ -25,6 +27,7 @@ GRAMS = (3, 5, 7)
 MOST = {1: 600, 0: 1800}  # labelled rows of each class in the sample
 LONGEST = 20_000  # bytes of a text in the sample
 EPOCHS = 16
+CHUNK = 64  # documents of the sample whose buckets are counted at a time
 INPUTS = 4 + 2 * len(GRAMS)
 
 _SEP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -75,6 +78,28 @@ class Tokens:
             out[:-1, 5 + 2 * i] = np.add.reduceat(np.where(ok, odds, 0), self.base[:-1]) / np.maximum(np.add.reduceat(ok, self.base[:-1], dtype=np.int64), 1)
         return out
 
+    def documents_by_bucket(self, a: int, b: int, y: np.ndarray, counts: dict[str, np.ndarray]) -> None:
+        """Adds to counts, by table, label and bucket, how many of the texts a to b hold a token or gram of the bucket."""
+        n = np.diff(self.first[a : b + 1])
+        doc = np.repeat(np.arange(b - a, dtype=np.int64), n)
+        pairs = np.unique(doc << 32 | self.number[self.first[a] : self.first[b]])
+        doc, token = pairs >> 32, pairs & 0xFFFFFFFF
+        n = self.size[token]
+        at = np.repeat(self.base[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        wide = np.repeat(doc, n)
+        for name, table in counts.items():
+            k = int(name[1:])
+            if name[0] == "w":
+                who, bucket = doc, self.word[k][token]
+            else:
+                gram, ok = self.grams[k]
+                inside = ok[at]
+                who, bucket = wide[inside], gram[at[inside]]
+            seen = np.unique(who << BITS | bucket)
+            bucket, label = seen & (2**BITS - 1), y[a + (seen >> BITS)] == 1
+            for v in (0, 1):
+                table[v] += np.bincount(bucket[label == v], minlength=2**BITS)
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(first token, text) of all overlapping windows; the last one of a text may be shorter."""
         n = np.diff(self.first)
@@ -129,23 +154,14 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> dict:
         network["c"][0] = 0 if n1 == n0 else (4 if n1 else -4)
         network["o"][:] = 0
         return {"network": network, "tables": {k: np.zeros(2**BITS, np.float32) for k in names}, "empty": empty}
-    doc = np.repeat(np.arange(len(rows)), np.diff(tokens.first))
-    pairs = np.unique(doc * (len(tokens.size) + 1) + tokens.number)
-    doc, token = pairs // (len(tokens.size) + 1), pairs % (len(tokens.size) + 1)
-    counts = {}
-    for k, name in enumerate(names):
-        if k < 2:
-            who, bucket = doc, tokens.word[k][token]
-        else:
-            b, ok = tokens.grams[k - 2]
-            n = tokens.size[token]
-            at = np.repeat(tokens.base[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            who, bucket = np.repeat(doc, n)[ok[at]], b[at[ok[at]]]
-        seen = np.unique(who << BITS | bucket)
-        who, bucket = seen >> BITS, seen & (2**BITS - 1)
-        counts[name] = (np.bincount(bucket, y[who], 2**BITS), np.bincount(bucket, 1 - y[who], 2**BITS))
-    tables = {k: _odds(a, b, n1, n0) for k, (a, b) in counts.items()}
-    left_out = [tokens.vectors({k: _odds(a, np.maximum(b - 1, 0), n1, n0 - 1 or 1) for k, (a, b) in counts.items()}), tokens.vectors({k: _odds(np.maximum(a - 1, 0), b, n1 - 1 or 1, n0) for k, (a, b) in counts.items()})]
+    counts = {k: np.zeros((2, 2**BITS), np.int64) for k in names}
+    for a in range(0, len(rows), CHUNK):  # documents that hold a bucket, by label, a few documents at a time
+        tokens.documents_by_bucket(a, min(a + CHUNK, len(rows)), y, counts)
+    tables = {k: _odds(a, b, n1, n0) for k, (b, a) in counts.items()}
+    left_out = [
+        tokens.vectors({k: _odds(a, np.maximum(b - 1, 0), n1, n0 - 1 or 1) for k, (b, a) in counts.items()}),
+        tokens.vectors({k: _odds(np.maximum(a - 1, 0), b, n1 - 1 or 1, n0) for k, (b, a) in counts.items()}),
+    ]
     start, text = tokens.windows()
     if not len(start):
         return {"network": network, "tables": tables, "empty": empty}
@@ -180,20 +196,26 @@ def fit_on(docs: DataFrame, labels: DataFrame, spared: int = 2) -> dict:
     by a hash of the id, of texts up to LONGEST bytes.  Null labels are left out; of repeated labels the highest counts."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(crc != spared).groupBy("doc_id").agg(F.max("y").alias("y"))
-    turn = F.xxhash64(F.lit(3), "doc_id")
-    picked = None
-    for label, most in MOST.items():
-        part = known.where(F.col("y") == label).orderBy(turn, "doc_id").limit(2 * most)
-        picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.octet_length("text") <= LONGEST)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").withColumn("turn", turn).collect()  # at most 2 * MOST rows of LONGEST bytes
-    rows.sort(key=lambda x: (x["turn"], x["doc_id"], x["text"]))
-    kept, left = [], dict(MOST)
-    for x in rows:
-        if left[x["y"]]:
-            left[x["y"]] -= 1
-            kept.append((x["text"], x["y"]))
-    return fit(kept)
+    turn = [F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id")]
+
+    def first(rows: DataFrame, times: int, *order) -> DataFrame:
+        """The first rows of each label; tasks keep their own first ones before the exchange."""
+        n = F.row_number().over(W.partitionBy("y").orderBy(*order))
+        most = F.when(F.col("y") == 1, times * MOST[1]).otherwise(times * MOST[0])
+        return rows.withColumn("n", n).where(F.col("n") <= times * max(MOST.values())).where(F.col("n") <= most).drop("n")
+
+    # twice as many ids as rows are wanted, as some may have no text of that length; an id with many rows does not add to the sample
+    ids = F.broadcast(first(known, 2, *turn))  # at most 2 * sum(MOST) rows
+    sample = first(texts.join(ids, "doc_id"), 1, *turn, "text")
+
+    def run(batches):  # at most sum(MOST) rows of LONGEST bytes
+        rows = sorted((d, t, y) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([x[1:] for x in rows]))], pa.binary())], ["model"])
+
+    # fitted in a task, so neither the sample nor the training takes the driver's memory
+    made = sample.select("doc_id", "text", "y").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([])
 
 
 def scored(docs: DataFrame, model: dict, spared: int = 2, threshold: float = 0.3) -> DataFrame:
