@@ -23,7 +23,7 @@ def corpus(seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randrange(2, 9)))
     items = [(i, " ".join(word() for _ in range(r.randrange(8, 30)))) for i in range(12)]
-    rows = [(0, None), (1, ""), (2, "..."), (3, items[0][1]), (3, items[0][1])]
+    rows = [(0, None), (1, ""), (2, "..."), (3, items[0][1]), (3, items[0][1]), (4, "no id " * 9), (5, "a Tiny word, here."), (6, "a tiny word heretic short")]
     for k in range(60):
         text = [word() for _ in range(r.randrange(5, 60))]
         if k % 2:
@@ -39,8 +39,8 @@ def corpus(seed):
 def test_brute_force(spark):
     items, rows = corpus(4)
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, item_id int")
-    bench = spark.createDataFrame([*items, (None, "no id " * 9), (77, "short"), (78, None)], "item_id long, text string")
-    want = set()
+    bench = spark.createDataFrame([*items, (None, "no id " * 9), (77, "short"), (78, None), (79, "tiny word here")], "item_id long, text string")
+    want = {(4, None, 0), (5, 79, 0)}
     for i, t in rows:
         for k, item in items:
             least = brute(plain(item), plain(t or ""))

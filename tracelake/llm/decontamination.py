@@ -21,7 +21,8 @@ from .common import U64, flat, slices
 
 Q = 8
 BLOCK_BYTES = 4 << 20
-SHORTEST = 24  # letters and digits of an item; a shorter one says nothing
+SHORTEST = 24  # letters and digits of an item; shorter ones are matched without edits, as whole words
+LANES = 256  # alignments that advance together
 _LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -50,36 +51,57 @@ def edits_allowed(length, percent: int):
     return np.minimum(length * percent // 100, (length - Q) // Q)
 
 
-def edit_distance(item: np.ndarray, region: np.ndarray, most: int, shift: int) -> tuple[int, int, int]:
-    """Least edits between the whole item and any part of the region (most + 1: more), and that part.
+def alignments(items: list[np.ndarray], data: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """For each lane the least edits between its whole item and any part of data[low:high] (most + 1: more), and that part's
+    first and end place in the region.  All lanes advance in step, one letter of their items at a time.
 
     Cells further than `most` diagonals from `shift` (region place minus item place) are not looked at.
     """
-    n, width = len(region), 2 * most + 1
-    low = shift - most  # cell k of row i stands at region place i + low + k
-    ends = np.arange(width) + low
-    big = most + 1
-    cost = np.where((ends >= 0) & (ends <= n), 0, big)
-    start = ends.copy()
-    for i in range(len(item)):
-        at = i + low + np.arange(width)  # region letter that cell k's diagonal step would use
-        inside = (at >= 0) & (at < n)
-        step = cost + np.where(inside, region[np.clip(at, 0, max(0, n - 1))] != item[i] if n else True, big)
-        origin = start
-        skip = np.append(cost[1:], big) + 1  # the item's letter is missing in the region
+    length, n = np.array([len(x) for x in items]), high - low
+    out = np.zeros((len(items), 3), np.int64)
+    out[:, 0] = most + 1
+    width = 2 * int(most.max()) + 1
+    k = np.arange(width)
+    padded = np.zeros((len(items), int(length.max())), np.uint8)
+    for row, x in zip(padded, items, strict=True):
+        row[: len(x)] = x
+    lane, big = np.arange(len(items)), (most + 1)[:, None]
+    base, first, end = low[:, None], (shift - most)[:, None], n[:, None]  # cell k of row i stands at region place i + first + k
+    place = first + k
+    out_of_band = k > 2 * most[:, None]
+    cost = np.where((place >= 0) & (place <= end) & ~out_of_band, 0, big)
+    start = place.copy()
+    last = max(0, len(data) - 1)
+    for i in range(padded.shape[1]):
+        at = i + first + k  # region letter that cell k's diagonal step would use
+        same = (data[np.clip(base + at, 0, last)] == padded[lane, i, None]) & (at >= 0) & (at < end)
+        step, origin = np.where(same, cost, np.where((at >= 0) & (at < end), cost + 1, big)), start
+        skip = np.concatenate([cost[:, 1:], big], 1) + 1  # the item's letter is missing in the region
         better = skip < step
-        step, origin = np.where(better, skip, step), np.where(better, np.append(start[1:], 0), origin)
-        place = at + 1
-        step = np.where((place >= 0) & (place <= n), np.minimum(step, big), big)
+        step, origin = np.where(better, skip, step), np.where(better, np.roll(start, -1, 1), origin)
+        step = np.where((at >= -1) & (at < end) & ~out_of_band, np.minimum(step, big), big)
         # letters that only the region has: a running minimum along the row
-        k = np.arange(width)
-        run = np.minimum.accumulate((step - k) * width + k)
-        source = run % width
-        cost, start = np.minimum((run // width) + k, big), origin[source]
-        if cost.min() >= big:
-            return big, 0, 0
-    best = int(cost.argmin())
-    return int(cost[best]), int(start[best]), len(item) + low + best
+        run = np.minimum.accumulate((step - k) * width + k, 1)
+        cost, start = np.minimum(run // width + k, big), np.take_along_axis(origin, run % width, 1)
+        done = length[lane] == i + 1
+        if done.any():
+            for j in np.flatnonzero(done):
+                c = int(cost[j].argmin())
+                out[lane[j]] = cost[j, c], start[j, c], i + 1 + first[j, 0] + c
+        if done.any() or i % 16 == 15:
+            keep = ~done & (cost.min(1) < big[:, 0])
+            if not keep.any():
+                break
+            lane, big, base, first, end, out_of_band, cost, start = (x[keep] for x in (lane, big, base, first, end, out_of_band, cost, start))
+    return out
+
+
+def edit_distance(item: np.ndarray, region: np.ndarray, most: int, shift: int) -> tuple[int, int, int]:
+    """`alignments` of one item."""
+    if not len(region):
+        region = np.zeros(1, np.uint8)  # never read: the region's end is 0
+        return tuple(alignments([item], region, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([most]), np.array([shift]))[0].tolist())
+    return tuple(alignments([item], region, np.zeros(1, np.int64), np.array([len(region)]), np.array([most]), np.array([shift]))[0].tolist())
 
 
 class Index:
@@ -88,7 +110,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], percent: int):
         col = pa.array([t for _, t in items], pa.string())
         data, off = letters(*flat(col))
-        ok = np.diff(off) >= SHORTEST
+        ok = np.diff(off) >= Q
         self.ids = [i for (i, _), x in zip(items, ok, strict=True) if x]
         self.texts = [data[a:b] for a, b, x in zip(off[:-1], off[1:], ok, strict=True) if x]
         g, who, at = [], [], []
@@ -104,12 +126,14 @@ class Index:
         self.seen = np.zeros(1 << 22, bool)
         self.seen[_slot(self.grams)] = True
         self.length = np.array([len(t) for t in self.texts], np.int64)
-        self.edits = edits_allowed(self.length, percent)
+        self.short = self.length < SHORTEST
+        self.edits = np.where(self.short, 0, edits_allowed(self.length, percent))
         self.bound = np.maximum(1, self.length - Q + 1 - Q * self.edits)
 
     def matches(self, col) -> list[tuple[int, int, int, int, int]]:
         """(text number, item id, edits, first and end letter) of every item found in a text, at its best place."""
-        data, off = letters(*flat(col))
+        raw, raw_off = flat(col)
+        data, off = letters(raw, raw_off)
         if not len(self.texts) or len(data) < Q:
             return []
         h = grams(data)
@@ -121,42 +145,70 @@ class Index:
         text = np.searchsorted(off, place, "right") - 1
         ok = place + Q <= off[text + 1]
         place, text, hit = place[ok], text[ok], hit[ok]
-        item, diagonal = self.who[hit], place - off[text] - self.at[hit]
+        # a text with fewer hits of an item than the bound can't hold it, wherever they lie
+        pair = text * len(self.ids) + self.who[hit]
+        _, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+        ok = n[which] >= self.bound[self.who[hit]]
+        place, text, hit = place[ok], text[ok], hit[ok]
+        item, at = self.who[hit], self.at[hit]
+        diagonal = place - off[text] - at
+        short = self.short[item]
+        best = self._exact(raw, raw_off, off, text[short], item[short], diagonal[short])
+        text, item, at, diagonal = text[~short], item[~short], at[~short], diagonal[~short]
+        if not len(text):
+            return [(t, self.ids[i], *v) for (t, i), v in sorted(best.items())]
         # overlapping bands: every hit counts in two of them
-        step = np.maximum(1, self.edits[item])
-        band = diagonal // step
-        key_text, key_item, key_band = np.concatenate([text, text]), np.concatenate([item, item]), np.concatenate([band, band - 1])
-        if not len(key_text):
-            return []
+        band = diagonal // np.maximum(1, self.edits[item])
+        key_band = np.concatenate([band, band - 1])
         span = int(np.abs(key_band).max()) + 2
-        key = (key_text * len(self.ids) + key_item) * (2 * span) + key_band + span
+        key = (np.tile(text, 2) * len(self.ids) + np.tile(item, 2)) * (2 * span) + key_band + span
+        key, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        bound = self.bound[key // (2 * span) % len(self.ids)]
         # a q-gram of the item counts once in a band, so the lemma's bound is not met by one repeated piece of it
-        pair = np.unique(np.stack([key, np.concatenate([self.at[hit], self.at[hit]])]), axis=1)[0]
-        key, n = np.unique(pair, return_counts=True)
-        item = key // (2 * span) % len(self.ids)
-        ok = n >= self.bound[item]
-        key, item = key[ok], item[ok]
-        best: dict[tuple[int, int], tuple] = {}
-        for k, i in zip(key.tolist(), item.tolist(), strict=True):
-            t, b = k // (2 * span) // len(self.ids), k % (2 * span) - span
-            most, width = int(self.edits[i]), int(max(1, self.edits[i]))
-            low = off[t] + max(0, b * width - most)
-            high = min(off[t + 1], off[t] + (b + 2) * width + self.length[i] + most)
-            shift = off[t] + b * width + width - low
-            found = edit_distance(self.texts[i], data[low:high], 2 * most, int(shift))
-            if found[0] <= most:
-                now = (found[0], int(low - off[t]) + found[1], int(low - off[t]) + found[2])
-                best[t, i] = min(best.get((t, i), now), now)
+        often = np.flatnonzero((n >= bound)[which])
+        most = int(self.length.max())
+        distinct = np.unique(which[often] * most + np.tile(at, 2)[often]) // most
+        number, n = np.unique(distinct, return_counts=True)
+        key = key[number[n >= bound[number]]]
+        if not len(key):
+            return [(t, self.ids[i], *v) for (t, i), v in sorted(best.items())]
+        text, item, band = key // (2 * span) // len(self.ids), key // (2 * span) % len(self.ids), key % (2 * span) - span
+        edits, width = self.edits[item], np.maximum(1, self.edits[item])
+        low = off[text] + np.maximum(0, band * width - edits)
+        high = np.minimum(off[text + 1], off[text] + (band + 2) * width + self.length[item] + edits)
+        shift = off[text] + band * width + width - low
+        for i in range(0, len(key), LANES):
+            part = slice(i, i + LANES)
+            found = alignments([self.texts[k] for k in item[part]], data, low[part], high[part], 2 * edits[part], shift[part])
+            for t, k, e, o, (cost, first, past) in zip(text[part].tolist(), item[part].tolist(), edits[part].tolist(), (low[part] - off[text[part]]).tolist(), found.tolist(), strict=True):
+                if cost <= e:
+                    now = (cost, o + first, o + past)
+                    best[t, k] = min(best.get((t, k), now), now)
         return [(t, self.ids[i], *v) for (t, i), v in sorted(best.items())]
 
+    def _exact(self, raw, raw_off, off, text, item, diagonal) -> dict[tuple[int, int], tuple]:
+        """Whole occurrences of short items between word ends: all their q-grams on one diagonal."""
+        if not len(text):
+            return {}
+        rows, n = np.unique(np.stack([text, item, diagonal], 1), axis=0, return_counts=True)
+        rows = rows[n >= self.bound[rows[:, 1]]]
+        kept = np.flatnonzero(_LETTER[raw])
+        best: dict[tuple[int, int], tuple] = {}
+        for t, i, d in rows.tolist():
+            a, b = int(kept[off[t] + d]), int(kept[off[t] + d + self.length[i] - 1]) + 1
+            if (a == raw_off[t] or not _LETTER[raw[a - 1]]) and (b == raw_off[t + 1] or not _LETTER[raw[b]]):
+                best.setdefault((t, i), (0, d, d + int(self.length[i])))
+        return best
+
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame:
     """Benchmark items that occur in texts with at most percent % of their letters edited.
 
     docs needs doc_id and text, benchmark item_id and text; other columns are ignored.  Returns one row for each
     document row and item: doc_id, item_id, edits, first and past (places among the text's letters and digits).
-    Null and blank texts match nothing; items with a null id, or with fewer than SHORTEST
-    letters and digits, are left out.  Rows that repeat are returned as often as they come.  Empty tables give an empty result.
+    Null and blank texts match nothing.  Items of fewer than SHORTEST letters and digits count only where they stand without
+    edits between word ends; those of fewer than Q say nothing of a leak and are left out.  Items with a null id are found like others.  Rows
+    that repeat are returned as often as they come.  Empty tables give an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
@@ -178,12 +230,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame
 
 def _blocks(benchmark: DataFrame):
     """The items as broadcasts of about BLOCK_BYTES each."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield benchmark.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.toLocalIterator()))
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame:
