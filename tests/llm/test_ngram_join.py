@@ -67,6 +67,34 @@ def test_brute_force(spark, monkeypatch, crowd):
         assert got == brute(rows)
 
 
+def test_mostly_popular_sets(spark, monkeypatch):
+    """A passage that most texts share, with much, little or no text of their own around it."""
+    monkeypatch.setattr(ngram_join, "POPULAR", 0.03)
+    r = random.Random(9)
+    vocab = [f"v{i}" for i in range(300)]
+    text = lambda n: [r.choice(vocab) for _ in range(n)]
+    passages, rows = [text(40), text(90)], []
+    for _ in range(120):
+        p = r.choice(passages)
+        x = text(r.choice([0, 2, 5, 9, 14, 25])) + p[r.randrange(3) :] + text(r.choice([0, 1, 4, 8, 12, 30]))
+        if r.random() < 0.3:
+            x[r.randrange(len(x))] = "changed"
+        rows.append(" ".join(x))
+    rows = list(enumerate(rows + [" ".join(text(n)) for n in range(1, 30)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == brute(rows)
+
+
+def test_rows_without_id_and_repeated_ids_link(spark):
+    """A row without an id joins its neighbours, and each text of a repeated id links for itself."""
+    words = [f"y{i}" for i in range(200)]
+    near = [" ".join(words[i : i + 60]) for i in (0, 6, 12)]
+    other = " ".join(words[100:160])
+    rows = [(1, near[0]), (None, near[1]), (2, near[2]), (7, near[0]), (7, other), (8, other), (9, "long " + "z " * 2_500_000 + "end"), (10, "z " * 2_500_000 + "end")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, 1), (1, 1), (2, 1), (7, 1), (7, 7), (8, 7), (9, 9), (10, 10)]
+
+
 def test_hot_run_and_chain(spark):
     """A chain of texts, each near the next one only, is one component."""
     words = [f"x{i}" for i in range(700)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     mark = None
     while True:
-        now = stored(_star(_star(now, True), False), "stars")
+        before, now = now, stored(_star(_star(now, True), False), "stars")
+        dropped(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break

@@ -13,8 +13,8 @@ of the domain keeps the guarantee, so popular shingles are left out first.
 
 Subsets of parts that are empty in a set would collide for all sets.  With z spare
 partitions, a set that has at most z partitions with an empty subset needs no signature
-for them; the few other sets, such as those that are mostly popular shingles, have signatures over the whole domain as well.
-So no link is lost.
+for them.  Other sets, such as short ones, have their rare shingles as partitions of one part as well, and those that
+are mostly popular shingles have signatures over the whole domain.  So no link is lost.
 
 Signatures travel packed, dealt by their high bits, with 32 more bits; that some runs meet by chance
 adds pairs that the bound and the texts turn down.  A run of one signature first gives pairs
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, mix, shingles, slices, stored
+from .common import U64, dropped, mix, shingles, slices, stored
 from .components import components
 
 BUCKET_SIGNATURES = 3_000_000
@@ -39,7 +39,7 @@ DEAL_ROWS = 500_000
 CROWD = 64
 PAIR = "a long, b long"
 LEADERS = 2
-SETS = "doc_id long, n_shingles long, node long, sketch binary, often array<struct<f: long, n: long>>"
+SETS = "doc_id long, mark long, n_shingles long, node long, sketch binary, often array<struct<f: long, n: long>>"
 POPULAR = 0.0005  # share of the documents that makes a shingle a popular one
 PACKED = "bucket int, sigs binary, nodes binary, times binary"
 
@@ -111,12 +111,15 @@ def _scheme(f: np.ndarray, owner_of: np.ndarray, sizes: np.ndarray, bands: Bands
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def signatures(f: np.ndarray, sizes: np.ndarray, bands: Bands, popular: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(f: np.ndarray, sizes: np.ndarray, bands: Bands, popular: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, number of the set) for the sets' own bands and the next ones.
 
-    First without the popular elements: sets that differ in at most k elements differ in at most k of the others too.
-    Sets for which the spare partitions don't cover the empty subsets then have signatures over all elements as well,
-    and those for which they don't even then have the empty ones too.
+    First without the popular elements: sets that differ in at most k elements differ in at most k of the others too.  A
+    pair is found so if the spare partitions cover the empty subsets of one of the two.  Where they cover those of neither, two more
+    partitionings serve.  A set may lack at most |A| - ceil(percent * |A| / 100) elements in a similar one; a set with more rare
+    elements than that shares one of them, so each rare element is a partition of its own.  If neither has so many, both are
+    mostly popular elements and have the signatures over the whole domain, with the empty ones where the spare partitions
+    don't cover even these.
     """
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = np.searchsorted(popular, f)
@@ -125,6 +128,11 @@ def signatures(f: np.ndarray, sizes: np.ndarray, bands: Bands, popular: np.ndarr
     out, names = [sig[~empty]], [who[~empty]]
     again = np.zeros(len(sizes), bool)
     again[who[short]] = True
+    if again.any():
+        one = rare & again[owner]
+        out.append(mix(f[one] ^ U64(0x3C6EF372FE94F82B)))
+        names.append(owner[one])
+        again &= np.bincount(owner[rare], minlength=len(sizes)) <= sizes - -(-percent * sizes // 100)
     if again.any():
         k = np.flatnonzero(again)
         number = np.cumsum(again) - 1
@@ -138,7 +146,7 @@ def signatures(f: np.ndarray, sizes: np.ndarray, bands: Bands, popular: np.ndarr
 
 def _sets(width: int):
     """A row a document, and one a batch with the shingles that came often in it."""
-    kinds = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("often", pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))]
+    kinds = [("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("often", pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))]
 
     def made(*columns):
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)], [name for name, _ in kinds])
@@ -149,11 +157,11 @@ def _sets(width: int):
             for part in slices(batch, "text"):
                 f, _, sizes = shingles(part.column(1), width)
                 held.append(f)
-                yield made(part.column(0), sizes, node_ids(f, sizes).view(np.int64), sketches(f, sizes), [None] * part.num_rows)
+                yield made(part.column(0), part.column(2), sizes, node_ids(f, sizes).view(np.int64), sketches(f, sizes), [None] * part.num_rows)
             seen, n = np.unique(np.concatenate(held or [np.zeros(0, U64)]), return_counts=True)
             often = n >= max(3, POPULAR / 2 * batch.num_rows)  # a popular shingle is so in many batches
             if often.any():
-                yield made([None], [0], [0], [b""], [[{"f": int(a), "n": int(b)} for a, b in zip(seen[often].view(np.int64), n[often], strict=True)]])
+                yield made([None], [None], [0], [0], [b""], [[{"f": int(a), "n": int(b)} for a, b in zip(seen[often].view(np.int64), n[often], strict=True)]])
 
     return run
 
@@ -170,7 +178,7 @@ def _signed(width: int, percent: int, largest: int, bits: int, popular):
                 one &= sizes > 0
                 if not one.any():
                     continue
-                sig, who = signatures(f[one[d]], sizes[one], bands, popular.value)
+                sig, who = signatures(f[one[d]], sizes[one], bands, popular.value, percent)
                 order = np.lexsort((who, sig >> U64(64 - bits)))
                 sig, who = sig[order], who[order]
                 rest = (sig << U64(bits) >> U64(32)).astype(np.uint32)
@@ -353,10 +361,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     doc_id link others but name no component.  Repeated rows are returned as often as they
     come.  An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
     both = stored(docs.mapInArrow(_sets(width), SETS), "sets")
     sets = both.where("often is null").drop("often")
-    nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    source = F.min(F.struct("doc_id", "mark")).alias("source")  # one row that has the set
+    nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), source, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     total, largest = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     # at most (shingles of a document on average) / POPULAR of them can be popular, whatever the number of documents
     often = both.where("often is not null").select(F.inline("often")).groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(POPULAR * sets.count())).select("f")
@@ -365,10 +374,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits, popular), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs", release=True)
 
     deals = max(8, -(-runs.count() // DEAL_ROWS))
-    runs = runs.withColumn("deal", F.pmod("sig", F.lit(deals)))
-    members = stored(runs.select("deal", "node").union(runs.select("deal", "leader")).distinct(), "members")
-    reps = nodes.join(members.select("node").distinct(), "node").where("rep is not null").select("node", F.col("rep").alias("doc_id"))
-    texts = stored(docs.join(reps, "doc_id").select("node", "text"), "texts", release=True)
+    dealt = runs.withColumn("deal", F.pmod("sig", F.lit(deals)))
+    members = stored(dealt.select("deal", "node").union(dealt.select("deal", "leader")).distinct(), "members")
+    # texts come by their rows, not by an id that may be null or stand for several texts
+    sources = nodes.join(members.select("node").distinct(), "node").select("node", F.col("source.doc_id").alias("_id"), F.col("source.mark").alias("_mark"))
+    rows = docs.join(sources, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["mark"] == F.col("_mark")))
+    texts = stored(rows.select("node", "text").dropDuplicates(["node"]), "texts", release=True)
 
     def known(comp: DataFrame | None) -> DataFrame:
         rows = nodes.select("node", "n", "sketch")
@@ -381,12 +392,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     def links(near: DataFrame, name: str) -> DataFrame:
         text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
         near = stored(near.distinct(), f"near-{name}", release=True)
-        return stored(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(width, percent), PAIR).distinct(), f"links-{name}", release=True)
+        found = stored(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(width, percent), PAIR).distinct(), f"links-{name}", release=True)
+        dropped(near)
+        return found
 
-    first = links(in_runs(runs, None), "star")
+    first = links(in_runs(dealt, None), "star")
     comp = stored(components(first), "comp")
-    edges = first.union(links(in_runs(runs, comp), "across"))
+    edges = stored(first.union(links(in_runs(dealt, comp), "across")), "edges")
+    for step in (runs, members, texts, first, comp):
+        dropped(step)
     last = components(edges)
+    dropped(edges)
     named = nodes.select("node", "rep").join(last, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "label").select("node", "component_id")
