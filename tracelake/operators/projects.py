@@ -40,14 +40,14 @@ def category(haystack: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, signals in reversed(rules.CATEGORIES):
         hit = F.lit(False)
-        for s in signals.split():
+        for s in signals:
             hit = hit | F.contains(low, F.lit(s))
         out = F.when(hit, F.lit(name)).otherwise(out)
     return out
 
 
 def languages(paths: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for name, exts in rules.LANGUAGES.items() for e in exts.split() for x in (e, name)])
+    table = F.create_map(*[F.lit(x) for kv in rules.LANGUAGES.items() for x in kv])
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(extensions(paths), lambda e: F.try_element_at(table, e)))))
 
 

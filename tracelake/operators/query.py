@@ -46,9 +46,10 @@ def timeline(events: DataFrame, tail: int, thinking: bool = True) -> DataFrame:
 
 
 def by_prefix(sessions: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(prefix, session_id): the newest session that starts with the prefix.  Prefixes are joined by their own length's heads."""
-    lengths = [r.n for r in prefixes.select(F.length("prefix").alias("n")).distinct().limit(64).collect()]
-    heads = sessions.select("session_id", "started_at", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("session_id", 1, n).alias("prefix")) for n in lengths] or [F.struct(F.lit(0).alias("n"), F.lit("").alias("prefix"))])).alias("h")).select("session_id", "started_at", "h.prefix")
+    """(prefix, session_id): the newest session that starts with the prefix.  Sessions are exploded to their heads of every length that a prefix has, so the join is by equality."""
+    lengths = prefixes.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))  # one row, as long as the longest prefix at most
+    heads = sessions.crossJoin(F.broadcast(lengths)).select("session_id", "started_at", F.explode(F.filter("lengths", lambda n: n <= F.length("session_id"))).alias("n"))
+    heads = heads.withColumn("prefix", F.substring(F.col("session_id"), F.lit(1), F.col("n")))
     return heads.join(prefixes.select("prefix").distinct(), "prefix").groupBy("prefix").agg(F.max_by("session_id", F.struct("started_at", "session_id")).alias("session_id"))
 
 
@@ -56,9 +57,19 @@ def find_git(operations: DataFrame, part: str) -> DataFrame:
     return operations.where(holds(F.col("message"), F.lit(part)) | holds(F.col("commit_hash"), F.lit(part)) | holds(F.col("branch"), F.lit(part)))
 
 
-def query_episodes(episodes: DataFrame, status: str | None = None, keyword: str | None = None, has_fix: bool | None = None, limit: int = 20) -> DataFrame:
-    """Filters come before the limit."""
-    out = episodes
+def _among(df: DataFrame, time: str, projects: list[str] | None, session: str | None, since, until) -> DataFrame:
+    if projects is not None:
+        df = df.where(F.col("project_id").isin(projects))
+    if session is not None:
+        df = df.where(F.col("session_id") == session)
+    if since is not None:
+        df = df.where(F.col(time) >= since)
+    return df if until is None else df.where(F.col(time) <= until)
+
+
+def query_episodes(episodes: DataFrame, status: str | None = None, keyword: str | None = None, has_fix: bool | None = None, limit: int = 20, projects: list[str] | None = None, session: str | None = None, since=None, until=None) -> DataFrame:
+    """Filters come before the limit; the range is of ended_at.  projects needs a project_id column."""
+    out = _among(episodes, "ended_at", projects, session, since, until)
     if status:
         out = out.where(F.col("status") == status)
     if has_fix is not None:
@@ -69,8 +80,10 @@ def query_episodes(episodes: DataFrame, status: str | None = None, keyword: str
     return out.orderBy(F.desc("ended_at"), "episode_id").limit(limit)
 
 
-def query_segments(segments: DataFrame, kind: str | None = None, keyword: str | None = None, limit: int = 20) -> DataFrame:
-    out = segments if kind is None else segments.where(F.col("segment_type") == kind)
+def query_segments(segments: DataFrame, kind: str | None = None, keyword: str | None = None, limit: int = 20, projects: list[str] | None = None, session: str | None = None, since=None, until=None) -> DataFrame:
+    """Filters come before the limit; the range is of started_at.  projects needs a project_id column."""
+    out = _among(segments, "started_at", projects, session, since, until)
+    out = out if kind is None else out.where(F.col("segment_type") == kind)
     if keyword:
         out = out.where(holds(F.col("topic"), F.lit(keyword)) | holds(F.col("summary"), F.lit(keyword)))
     return out.orderBy(F.desc("ended_at"), "segment_id").limit(limit)

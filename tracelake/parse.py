@@ -78,7 +78,7 @@ def events(lines: DataFrame) -> DataFrame:
         F.when(call, tool).alias("tool_name"), F.when(call, _get(F.col("b"), "$.id")).when(F.col("event_type") == "tool_result", _get(F.col("b"), "$.tool_use_id")).alias("tool_use_id"),
         F.when(call, F.to_json(given)).alias("tool_input_json"), F.when(F.col("event_type") == "tool_result", _get(F.col("v"), "$.toolUseResult.success", "boolean")).alias("tool_success"),
         F.when(call, F.coalesce(_get(given, "$.file_path"), _get(given, "$.notebook_path"))).alias("file_path"), F.when(call, F.try_element_at(op, tool)).alias("file_operation"),
-        F.when(call, old).alias("old_content"), F.when(call, new).alias("new_content"), F.when(call, edits).alias("edits"), F.when(call, _get(given, "$.command")).alias("command"), "raw",
+        F.when(call, old).alias("old_content"), F.when(call, new).alias("new_content"), F.when(call, edits).alias("edits"), F.when(call & (tool == "Edit"), F.coalesce(_get(given, "$.replace_all", "boolean"), F.lit(False))).alias("replace_all"), F.when(call, _get(given, "$.command")).alias("command"), "raw",
     )
     w = W.partitionBy("path").orderBy("line_no", "offset")
     b = b.withColumn("rn", F.row_number().over(w) - 1)

@@ -146,11 +146,6 @@ def e5_statistics(s, sf):
     return S.statistics(e, S.outcomes(e))
 
 
-@query()
-def e6_patterns(s, sf):
-    return S.patterns(G.episodes(ev(s, sf)), least=2, top=50)
-
-
 @query(f"""{WITH}, {OUTCOME_SQL}, {ROLL_SQL}, msg as (select *, row_number() over (partition by session_id order by sequence) as r from ev where event_type = 'user_message'),
  first as (select session_id, arg_min(content, r) as first_message from msg where r <= 3 and content not like '<%' group by session_id)
  select s.session_id, s.started_at, o.outcome, f.first_message from sess s left join outcome o using (session_id) left join first f using (session_id) where s.started_at >= timestamp '2024-01-15'""")
@@ -175,13 +170,14 @@ def e9_unanalysed(s, sf):
 
 # ---------------------------------------------------------------- texts
 
-ERR_SQL = "case when content like 'error:%' then 'bash_error_lowercase' end"
+ERR_SQL = """with_error as (select *, case when error_detected then ['bash_error_lowercase', 'python_traceback', 'pytest_failed', 'python_exception', 'curl_error', 'panic_fatal', 'bash_common', 'ts_compile_error'][k % 8 + 1] end as pattern,
+ case when error_detected then ['bash', 'python', 'test', 'python', 'http', 'bash', 'bash', 'compile'][k % 8 + 1] end as category, case when error_detected then case when k % 8 = 5 then 'fatal' else 'error' end end as severity from ev)"""
 
 
-@query(f"{WITH} select event_id, {ERR_SQL} as pattern, case when content like 'error:%' then content end as snippet, case when content like 'error:%' then 'bash' end as category from ev")
+@query(f"{WITH}, {ERR_SQL} select event_id, pattern, case when error_detected then split_part(content, chr(10), 1) end as snippet, category, severity from with_error")
 def c1_detect_error(s, sf):
     e = X.detect_error(F.col("content"))
-    return ev(s, sf).select("event_id", e["pattern"].alias("pattern"), e["snippet"].alias("snippet"), e["category"].alias("category"))
+    return ev(s, sf).select("event_id", *[e[c].alias(c) for c in ("pattern", "snippet", "category", "severity")])
 
 
 @query("""select o_orderkey, 'commit' as operation, substring(md5(cast(o_orderkey as varchar)), 1, 8) as commit_hash, 'change ' || o_orderkey as message, 'main' as branch, cast(o_orderkey % 9 + 1 as int) as files_changed, true as success from orders
@@ -227,12 +223,12 @@ def _words_sql(pattern: str, stop: list[str]) -> str:
     return f"list_filter(regexp_extract_all(lower(text), '{pattern}'), lambda x: not list_contains({listed_sql(stop)}, x))"
 
 
-@query(f"select conv_id, turn, array_to_string(list_sort(list_distinct({_words_sql('[a-z][a-z0-9_]{3,}', rules.PLAIN_STOPWORDS)})), ' ') as words from conversations")
+@query(f"select conv_id, turn, array_to_string(list_sort(list_distinct({_words_sql('[a-z][a-z0-9]{3,}', rules.PLAIN_STOPWORDS)})), ' ') as words from conversations")
 def c18_simple_keywords(s, sf):
     return table(s, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(X.simple_keywords(F.col("text"))), " ").alias("words"))
 
 
-@query(f"select conv_id, turn, array_to_string(list_transform(list_sort(list_transform({_words_sql('[a-z0-9_]{4,}', rules.QUERY_STOPWORDS)}, lambda x, i: {{'n': -length(x), 'i': i, 't': x}})), lambda r: r.t), ' ') as words from conversations")
+@query(f"select conv_id, turn, array_to_string(list_transform(list_sort(list_transform({_words_sql('[a-z][a-z0-9]{3,}', rules.QUERY_STOPWORDS)}, lambda x, i: {{'n': -length(x), 'i': i, 't': x}})), lambda r: r.t), ' ') as words from conversations")
 def c20_query_keywords(s, sf):
     return table(s, sf, "conversations").select("conv_id", "turn", F.array_join(X.query_keywords(F.col("text")), " ").alias("words"))
 
@@ -319,22 +315,43 @@ def f11_list_projects(s, sf):
 # ---------------------------------------------------------------- episodes and segments
 
 
-@query()
+# The walk as a fold over a session's errors, edits and clean results; the given events hold no thoughts, so there is no diagnosis.
+EPISODE_SQL = """steps as (select session_id, list({'idx': sequence, 'kind': case when event_type = 'tool_call' then 'edit' when error_detected then 'error' else 'clean' end,
+   'path': case when event_type = 'tool_call' then file_path when error_detected then regexp_extract(content, '/srv[a-z0-9/.]+') else '' end} order by sequence) as rows from ev where event_type = 'tool_result' or file_operation = 'edit' group by session_id),
+ walked as (select session_id, list_reduce(rows, lambda a, r: case
+    when a.cur < 0 then case when r.kind = 'error' then {'cur': r.idx, 'path': r.path, 'fix': -1::bigint, 'touched': [r.path], 'found': a.found} else a end
+    when r.kind = 'error' then case when r.idx > a.cur + 1 and (a.fix < 0 or not list_contains(a.touched, r.path)) then {'cur': r.idx, 'path': r.path, 'fix': -1::bigint, 'touched': [r.path], 'found': list_append(a.found, [a.cur, a.fix, -1::bigint])} else a end
+    when r.kind = 'edit' then {'cur': a.cur, 'path': a.path, 'fix': case when a.fix < 0 and regexp_extract(r.path, '[^/]+$') = regexp_extract(a.path, '[^/]+$') then r.idx else a.fix end, 'touched': list_append(a.touched, r.path), 'found': a.found}
+    when a.fix >= 0 then {'cur': -1::bigint, 'path': '', 'fix': -1::bigint, 'touched': a.touched, 'found': list_append(a.found, [a.cur, a.fix, r.idx])} else a end,
+   {'cur': -1::bigint, 'path': '', 'fix': -1::bigint, 'touched': []::varchar[], 'found': []::bigint[][]}) as z from steps),
+ spans0 as (select session_id, unnest(case when z.cur >= 0 then list_append(z.found, [z.cur, z.fix, -1::bigint]) else z.found end) as e from walked),
+ asks as (select *, last_value(case when event_type = 'user_message' and trim(content) <> '' then trim(content) end ignore nulls) over (partition by session_id order by sequence rows between 99 preceding and 1 preceding) as ask from ev),
+ eps as (select 'ep_' || substring(sha256(x.session_id || ':' || x.e[1]), 1, 16) as episode_id, x.session_id, p.ts as started_at, coalesce(v.ts, f.ts, p.ts) as ended_at, p.event_id as problem_event_id, cast(null as varchar) as diagnosis_event_id,
+   f.event_id as fix_event_id, v.event_id as verification_event_id, case when p.ask is not null then 'Ask: ' || substring(p.ask, 1, 360) || '. ' else '' end || 'Error: ' || p.content as problem_description, '' as diagnosis_summary,
+   case when f.event_id is null then '' else 'Edit on ' || regexp_extract(f.file_path, '[^/]+$') || ': ' || chr(39) || f.old_content || chr(39) || ' → ' || chr(39) || f.new_content || chr(39) || coalesce('. Verified: ' || v.content, '') end as fix_summary,
+   round(0.3::double + case when f.event_id is null then 0 else 0.3::double end + case when v.event_id is null then 0 else 0.2::double end, 6) as confidence,
+   case when v.event_id is not null then 'resolved' when f.event_id is not null then 'partial' else 'unresolved' end as status, cast(null as varchar) as fix_commit_hash, p.error_category, p.cwd
+  from spans0 x join asks p on p.session_id = x.session_id and p.sequence = x.e[1] left join ev f on f.session_id = x.session_id and f.sequence = x.e[2] left join ev v on v.session_id = x.session_id and v.sequence = x.e[3])"""
+
+
+@query(f"{WITH}, {EPISODE_SQL} select * exclude (error_category, cwd) from eps")
 def g1_episodes(s, sf):
     return G.episodes(ev(s, sf)).drop("touched_files", "tags")
 
 
-@query()
+@query(f"{WITH}, {EPISODE_SQL} select episode_id, session_id, ended_at, status from eps where status = 'resolved' and contains(lower(problem_description), 'item') and ended_at >= timestamp '2024-01-05' and ended_at <= timestamp '2024-01-25' order by ended_at desc, episode_id limit 20")
 def g7_query_episodes(s, sf):
-    return L.query_episodes(G.episodes(ev(s, sf)), status="resolved", keyword="item", limit=20).select("episode_id", "session_id", "ended_at", "status")
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    found = L.query_episodes(G.episodes(ev(s, sf)), status="resolved", keyword="Item", since=day("2024-01-05"), until=day("2024-01-25"), limit=20)
+    return found.select("episode_id", "session_id", "ended_at", "status")
 
 
-@query()
+@query(f"{WITH}, {EPISODE_SQL} select episode_id, 'Problem: ' || problem_description || chr(10) || 'Fix: ' || fix_summary as text from eps where fix_event_id is not null")
 def g8_episode_texts(s, sf):
     return G.episode_text(G.episodes(ev(s, sf)))
 
 
-@query()
+@query(f"{WITH}, {EPISODE_SQL} select episode_id, '# ' || episode_id || ' (' || status || ')' || chr(10) || chr(10) || '## Problem' || chr(10) || problem_description || case when fix_summary <> '' then chr(10) || chr(10) || '## Fix' || chr(10) || fix_summary else '' end as markdown from eps")
 def a8_episode_markdown(s, sf):
     return L.episode_markdown(G.episodes(ev(s, sf)))
 
@@ -355,22 +372,40 @@ def h2_topic_overlap(s, sf):
     return c.withColumn("b", before).select("conv_id", "turn", F.round(F.when(F.col("b").isNotNull(), H.jaccard("w", "b")), 6).alias("overlap"))
 
 
-@query(f"""{WITH}, {RUN_SQL}, waits as (select *, coalesce(epoch(ts) - lag(epoch(ts)) over (partition by session_id order by sequence) > {GAP}, false) as hard from runs),
- users as (select session_id, list({{'idx': sequence, 'soft': tool_run >= 6, 'hard': hard}} order by sequence) as u from waits where event_type = 'user_message' group by session_id),
- cuts as (select session_id, list_reduce(u, lambda a, x: case when x.idx - a.start > 0 and ((x.soft and x.idx - a.start > 3) or x.hard or x.idx - a.start >= 80) then {{'start': x.idx, 'splits': list_append(a.splits, x.idx)}} else a end, {{'start': 0::bigint, 'splits': []::bigint[]}}).splits as splits from users)
- select event_id, cast(coalesce(len(list_filter(c.splits, lambda i: i <= w.sequence)), 0) as bigint) as seg_no from waits w left join cuts c using (session_id)""")
+TOPIC_WORDS = _words_sql("[a-z][a-z0-9]{3,}", rules.PLAIN_STOPWORDS).replace("lower(text)", "lower(content)")
+SPLIT_SQL = f"""{RUN_SQL}, waits as (select *, coalesce(epoch(ts) - lag(epoch(ts)) over (partition by session_id order by sequence) > {GAP}, false) as hard from runs),
+ asked as (select *, list_distinct({TOPIC_WORDS}) as kw from waits where event_type = 'user_message'),
+ shifts as (select *, lag(kw) over (partition by session_id order by sequence) as before from asked),
+ users as (select session_id, list({{'idx': sequence, 'soft': tool_run >= 6 or coalesce(len(before) > 0 and len(kw) > 0 and len(list_intersect(before, kw)) / len(list_distinct(list_concat(before, kw))) < 0.2, false), 'hard': hard}} order by sequence) as u from shifts group by session_id),
+ cuts as (select session_id, list_reduce(u, lambda a, x: case when x.idx - a.start > 0 and ((x.soft and x.idx - a.start > 3) or x.hard or x.idx - a.start >= 80) then {{'start': x.idx, 'splits': list_append(a.splits, x.idx)}} else a end, {{'start': 0::bigint, 'splits': []::bigint[]}}).splits as splits from users),
+ numbered_segments as (select w.*, cast(coalesce(len(list_filter(c.splits, lambda i: i <= w.sequence)), 0) as bigint) as seg_no from waits w left join cuts c using (session_id))"""
+
+
+@query(f"{WITH}, {SPLIT_SQL} select event_id, seg_no from numbered_segments")
 def h4_segment_splits(s, sf):
-    return H.boundaries(ev(s, sf), gap=GAP, shift=0.0).select("event_id", "seg_no")
+    return H.boundaries(ev(s, sf), gap=GAP).select("event_id", "seg_no")
 
 
-@query()
+def _any_word(words: list[str]) -> str:
+    return f"len(list_intersect(regexp_extract_all(lower(array_to_string(texts, ' ')), '[a-z]{{4,}}'), {listed_sql(words)})) > 0"
+
+
+SEGMENT_SQL = f"""grouped as (select session_id, seg_no, min(ts) as started_at, max(ts) as ended_at, min(sequence) as start_sequence, max(sequence) as end_sequence, count(*) as event_count,
+  coalesce(list(trim(content) order by sequence) filter (where event_type = 'user_message'), []) as texts, bool_or(error_detected) as any_error, bool_or(event_type = 'tool_call') as any_call from numbered_segments group by all),
+ segs as (select 'seg_' || substring(sha256(session_id || ':' || start_sequence), 1, 16) as segment_id, session_id, started_at, ended_at, start_sequence, end_sequence,
+  case when any_error then 'debugging' when {_any_word(rules.DESIGN_WORDS)} then 'design' when {_any_word(rules.PLANNING_WORDS)} then 'planning' when not any_call and list_avg(list_transform(texts, lambda t: length(t))) > 120 then 'story' else 'discussion' end as segment_type,
+  substring(texts[1], 1, 200) as topic, substring(array_to_string(texts, ' | '), 1, 2000) as summary, event_count, cast(len(texts) as bigint) as user_message_count from grouped where event_count >= 3 and len(texts) > 0)"""
+
+
+@query(f"{WITH}, {SPLIT_SQL}, {SEGMENT_SQL} select * from segs")
 def h5_segments(s, sf):
     return H.segments(ev(s, sf), gap=GAP).drop("keywords")
 
 
-@query()
+@query(f"{WITH}, {SPLIT_SQL}, {SEGMENT_SQL} select segment_id, ended_at, segment_type from segs where segment_type = 'debugging' and started_at >= timestamp '2024-01-05' and contains(topic, 'item') order by ended_at desc, segment_id limit 20")
 def h7_query_segments(s, sf):
-    return L.query_segments(H.segments(ev(s, sf), gap=GAP), kind="debugging", limit=20).select("segment_id", "ended_at", "segment_type")
+    found = L.query_segments(H.segments(ev(s, sf), gap=GAP), kind="debugging", keyword="ITEM", since=F.lit("2024-01-05").cast("timestamp_ntz"), limit=20)
+    return found.select("segment_id", "ended_at", "segment_type")
 
 
 # ---------------------------------------------------------------- search
@@ -437,10 +472,30 @@ def j11_drift(s, sf):
 # ---------------------------------------------------------------- replay
 
 
-@query(f"""{WITH}, e as (select session_id, file_path, list({{'id': event_id, 'o': old_content, 'n': new_content}} order by sequence) as e from ev where file_operation = 'edit' group by all)
- select session_id, file_path, list_reduce(e, lambda a, x: case when instr(a.t, x.o) > 0 then {{'t': substring(a.t, 1, instr(a.t, x.o) - 1) || x.n || substring(a.t, instr(a.t, x.o) + length(x.o))}} else a end, {{'t': e[1].o}}).t as content, cast(len(e) as bigint) as edits_applied, e[-1].id as last_event_id from e""")
+def _edited(e: DataFrame) -> DataFrame:
+    """Clicks as edits of all three kinds: Writes, MultiEdits of two steps, and Edits of the first or of every occurrence."""
+    edit, kind = F.col("file_operation") == "edit", F.col("k") % 5
+    two = F.array(*[F.struct(F.lit(o).alias("old_string"), F.lit(n).alias("new_string"), F.lit(False).alias("replace_all")) for o, n in (("v1", "w"), ("v2", "v3 v3"))])
+    return e.withColumns({
+        "file_operation": F.when(edit & (kind == 0), "multi_edit").when(edit & (kind == 1), "write").otherwise(F.col("file_operation")), "edits": F.when(edit & (kind == 0), two), "replace_all": edit & (F.col("k") % 2 == 0),
+        "old_content": F.when(edit & (kind > 1), F.col("old_content")), "new_content": F.when(edit & (kind == 1), "v1 v2 v3 v2 v1").when(edit & (kind > 1), F.col("new_content")),
+    })
+
+
+STATE_SQL = f"""{PAIRS_SQL}, kinds as (select *, case k % 5 when 0 then 'multi' when 1 then 'write' else 'edit' end as op from ev where file_operation = 'edit'),
+ heads as (select session_id, file_path, max(case when op = 'write' then sequence end) as head from kinds group by all),
+ kept as (select kinds.*, head from kinds join heads using (session_id, file_path) where head is null or sequence >= head),
+ parts as (select session_id, file_path, event_id, sequence, op, k % 2 = 0 as every, unnest(case op when 'multi' then [{{'o': 'v1', 'n': 'w'}}, {{'o': 'v2', 'n': 'v3 v3'}}] when 'write' then [{{'o': '', 'n': 'v1 v2 v3 v2 v1'}}] else [{{'o': old_content, 'n': new_content}}] end) as c, generate_subscripts(case op when 'multi' then [1, 2] else [1] end, 1) as turn from kept),
+ folds as (select session_id, file_path, list({{'op': op, 'o': c.o, 'n': c.n, 'every': every and op = 'edit'}} order by sequence, turn) as l, arg_max(event_id, sequence) as last_event_id, count(distinct event_id) as edits_applied from parts group by all),
+ states as (select session_id, file_path, list_reduce(l, lambda a, x: case when x.op = 'write' then {{'t': x.n}} when instr(a.t, x.o) = 0 then a when x.every then {{'t': replace(a.t, x.o, x.n)}}
+   else {{'t': substring(a.t, 1, instr(a.t, x.o) - 1) || x.n || substring(a.t, instr(a.t, x.o) + length(x.o))}} end, {{'t': case when l[1].op = 'edit' then l[1].o else '' end}}).t as content, cast(edits_applied as bigint) as edits_applied, last_event_id from folds),
+ snaps as (select e.session_id, e.file_path, arg_min(r.content, e.sequence) as content from ev e join pairs p on p.call_event_id = e.event_id join ev r on r.event_id = p.result_event_id where e.file_operation = 'read' group by all)"""
+
+
+@query(f"{WITH}, {STATE_SQL} select * from states union all select session_id, file_path, content, 0, null from snaps where (session_id, file_path) not in (select (session_id, file_path) from states)")
 def k3_file_states(s, sf):
-    return K.file_states(ev(s, sf)).select("session_id", "file_path", "content", "edits_applied", "last_event_id")
+    e = ev(s, sf)
+    return K.file_states(_edited(e), reads=K.snapshots(D.tool_pairs(e), e)).select("session_id", "file_path", "content", "edits_applied", "last_event_id")
 
 
 @query(f"""{WITH}, t as (select session_id, max(sequence) // 2 as until from ev group by all), e as (select session_id, file_path, list(event_id order by sequence) as e from ev join t using (session_id) where file_operation = 'edit' and sequence <= until group by all)

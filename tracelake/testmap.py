@@ -14,8 +14,10 @@ ev as (select 'e' || event_id as event_id, session_id, cast(sequence as bigint)
   case event_type when 'view' then 'Read' when 'click' then 'Edit' end as tool_name,
   case event_type when 'view' then 'read' when 'click' then 'edit' end as file_operation,
   case when is_call then '/srv/p' || (user_id % 7) || '/src/f' || (k % 20) || '.py' end as file_path,
-  case event_type when 'signup' then 'please plan the next step for item ' || k when 'view' then 'Tool: Read' when 'click' then 'Tool: Edit'
-    when 'purchase' then 'test ' || k || ' passed ok' else 'error: item ' || k || ' failed in /srv/p' || (user_id % 7) || '/src/f' || (k % 20) || '.py' end as content,
+  case event_type when 'signup' then case k % 3 when 0 then 'please plan the next step for item ' when 1 then 'why does the parser drop tokens of item ' else 'design a database schema with item ' end || k when 'view' then 'Tool: Read' when 'click' then 'Tool: Edit'
+    when 'purchase' then 'test ' || k || ' passed ok' else replace(replace(case k % 8 when 0 then 'error: item K failed in PATH' when 1 then 'Traceback (most recent call last):' || chr(10) || '  File "PATH", line K'
+      when 2 then 'FAILED PATH::test_K' when 3 then 'ValueError: item K in PATH' when 4 then 'curl: (7) item K in PATH' when 5 then 'fatal: item K in PATH' when 6 then 'PATH: permission denied for item K' else 'error TS2304: item K in PATH' end,
+      'PATH', '/srv/p' || (user_id % 7) || '/src/f' || (k % 20) || '.py'), 'K', k::varchar) end as content,
   case when event_type = 'click' then 'v' || (k % 5) end as old_content,
   case when event_type = 'click' then 'v' || (k % 5 + 1) end as new_content,
   case when event_type in ('purchase', 'error') then event_type = 'purchase' end as tool_success,
@@ -26,6 +28,12 @@ ev as (select 'e' || event_id as event_id, session_id, cast(sequence as bigint)
   '/srv/p' || (user_id % 7) as cwd, 'model-' || (k % 3) as model from numbered)
 """
 
+ASKED = ["please plan the next step for item ", "why does the parser drop tokens of item ", "design a database schema with item "]
+FAILED = [
+    "error: item K failed in PATH", 'Traceback (most recent call last):\n  File "PATH", line K', "FAILED PATH::test_K", "ValueError: item K in PATH",
+    "curl: (7) item K in PATH", "fatal: item K in PATH", "PATH: permission denied for item K", "error TS2304: item K in PATH",
+]
+
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """signup: message of the user; view, click: reading and editing calls; purchase, error: clean and failing results.
@@ -47,8 +55,8 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "view", "Read").when(kind == "click", "Edit").alias("tool_name"),
         F.when(kind == "view", "read").when(kind == "click", "edit").alias("file_operation"),
         F.when(call, path).alias("file_path"),
-        F.when(kind == "signup", F.concat(F.lit("please plan the next step for item "), "k")).when(kind == "view", "Tool: Read").when(kind == "click", "Tool: Edit")
-        .when(kind == "purchase", F.concat(F.lit("test "), "k", F.lit(" passed ok"))).otherwise(F.concat(F.lit("error: item "), "k", F.lit(" failed in "), path)).alias("content"),
+        F.when(kind == "signup", F.concat(F.element_at(F.array(*map(F.lit, ASKED)), (F.col("k") % 3 + 1).cast("int")), "k")).when(kind == "view", "Tool: Read").when(kind == "click", "Tool: Edit")
+        .when(kind == "purchase", F.concat(F.lit("test "), "k", F.lit(" passed ok"))).otherwise(F.replace(F.replace(F.element_at(F.array(*map(F.lit, FAILED)), (F.col("k") % 8 + 1).cast("int")), F.lit("PATH"), path), F.lit("K"), F.col("k").cast("string"))).alias("content"),
         F.when(kind == "click", F.concat(F.lit("v"), F.col("k") % 5)).alias("old_content"),
         F.when(kind == "click", F.concat(F.lit("v"), F.col("k") % 5 + 1)).alias("new_content"),
         F.when(result, kind == "purchase").alias("tool_success"), (kind == "error").alias("error_detected"),
