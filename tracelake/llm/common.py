@@ -35,13 +35,17 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)
 
 # ---------------------------------------------------------------- stored steps
 
+_local: dict[str, str] = {}
+
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder for stored steps: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for stored steps: spark.checkpoint.dir, or a fresh local one where it is unset and Spark runs in one process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-steps-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        _local[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 

@@ -17,7 +17,7 @@ for them.  Other sets, such as short ones, have their rare shingles as partition
 are mostly popular shingles have signatures over the whole domain.  So no link is lost.
 
 Signatures travel packed, dealt by their high bits, with 32 more bits; that some runs meet by chance
-adds pairs that the bound and the texts turn down.  A run of one signature first gives pairs
+adds pairs that the bound and the texts turn down.  Runs are then dealt by their leaders.  A run of one signature first gives pairs
 of a leader with the others; pairs survive an exact bound (parity sketches: the
 number of differing bits can't exceed the difference of the sets) and are verified on the
 texts.  Only runs that still hold several components then give further pairs, between
@@ -217,8 +217,17 @@ def _runs(key, table):
     keep = np.ones(len(sig), bool)
     keep[1:] = new[1:] | (node[1:] != node[:-1])
     keep &= node != leader
-    run = (U64(key[0].as_py()) << U64(32)) | sig[keep].astype(U64)
-    return pa.table({"sig": run.view(np.int64), "leader": leader[keep], "node": node[keep]})
+    sig, leader, node = sig[keep], leader[keep], node[keep]
+    if len(sig):  # of a bucket's runs of the same sets one is enough
+        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(edge, append=len(sig))
+        made = mix(np.add.reduceat(mix(node.view(U64)), edge) + size.astype(U64)) + leader[edge].view(U64)
+        once = np.zeros(len(edge), bool)
+        once[np.unique(made, return_index=True)[1]] = True
+        keep = np.repeat(once, size)
+        sig, leader, node = sig[keep], leader[keep], node[keep]
+    run = (U64(key[0].as_py()) << U64(32)) | sig.astype(U64)
+    return pa.table({"sig": run.view(np.int64), "leader": leader, "node": node})
 
 
 class _Sketches:
@@ -374,7 +383,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits, popular), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs", release=True)
 
     deals = max(8, -(-runs.count() // DEAL_ROWS))
-    dealt = runs.withColumn("deal", F.pmod("sig", F.lit(deals)))
+    # a leader's runs meet in one deal, so a pair that many of them hold comes once; only the few with very many rows are split
+    large = runs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / DEAL_ROWS).alias("cuts")).where("cuts > 1")  # fewer than deals
+    cut = F.pmod("sig", F.coalesce("cuts", F.lit(1)))
+    dealt = runs.join(F.broadcast(large), "leader", "left").select("sig", "leader", "node", F.pmod(F.xxhash64("leader", cut), F.lit(deals)).alias("deal"))
     members = stored(dealt.select("deal", "node").union(dealt.select("deal", "leader")).distinct(), "members")
     # texts come by their rows, not by an id that may be null or stand for several texts
     sources = nodes.join(members.select("node").distinct(), "node").select("node", F.col("source.doc_id").alias("_id"), F.col("source.mark").alias("_mark"))
