@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracelake.llm import decontamination, mixing, ngram_join, token_output, toxicity
-from tracelake.llm.common import stored
+from tracelake.llm.common import dropped, stored
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,28 +21,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; rows without an id stay, repeated ids are kept once."""
+    """The document with the smallest id of each group; rows without an id stay.  Of rows that repeat an id the one with the
+    smallest text, as strings compare, stays (null texts first)."""
     groups = ngram_join.jaccard_components(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(docs.columns)
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = kept.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row")).select("doc_id", "_row.*")
+    return kept.join(again, "doc_id", "left_anti").unionByName(one).unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
+    """Documents in which no benchmark item was found with at most 10 % of its letters edited; empty and null texts hold none and stay."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, 2 times at most.  Rows that share an id, or have none, are each taken as often as the
+    one of them that is taken most; documents without words are never taken.  Other columns may have any name."""
     mix = mixing.mixed(docs.select("doc_id", "source", mixing.words_of("text").alias("size")))
-    copies = mix.where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return taken.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    copies = mix.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    d, c = docs.select(F.struct(*docs.columns).alias("row")), copies.select(F.struct("doc_id", "copies").alias("mix"))
+    taken = d.join(c, F.col("row.doc_id").eqNullSafe(F.col("mix.doc_id")))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies")))).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token frames, read back as an index of documents."""
+    """Token frames, read back as an index of documents: doc_id, start, n_tokens and ids_crc32 of each row, null ids first and null
+    texts as empty ones."""
     return token_output.token_index(docs, public_tokenizers.path(TOKENIZER), end=0)
 
 
@@ -60,7 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each one keeps is stored and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
