@@ -39,6 +39,7 @@ DEAL_ROWS = 500_000
 CROWD = 64
 PAIR = "a long, b long"
 LEADERS = 2
+FIRST = 3
 SETS = "doc_id long, mark long, n_shingles long, node long, sketch binary, often array<struct<f: long, n: long>>"
 POPULAR = 0.0005  # share of the documents that makes a shingle a popular one
 PACKED = "bucket int, sigs binary, nodes binary, times binary"
@@ -397,8 +398,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
         rows = nodes.select("node", "n", "sketch")
         return rows.withColumn("comp", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
 
-    def in_runs(of: DataFrame, comp: DataFrame | None) -> DataFrame:
-        near = of.select("deal", "sig", "leader", "node").groupBy("deal").cogroup(members.join(known(comp), "node").groupBy("deal"))
+    def in_runs(of: DataFrame, within: DataFrame, comp: DataFrame | None) -> DataFrame:
+        near = of.select("deal", "sig", "leader", "node").groupBy("deal").cogroup(within.join(known(comp), "node").groupBy("deal"))
         return near.applyInArrow(_near(percent, comp is None), PAIR)
 
     def links(near: DataFrame, name: str) -> DataFrame:
@@ -408,9 +409,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
         dropped(near)
         return found
 
-    first = links(in_runs(dealt, None), "star")
+    # the first step takes a set's pairs with FIRST of its leaders, one order of leaders for all sets, so it makes at most FIRST pairs a set;
+    # the second one then compares all sets of a run that are still apart, whatever the first one took
+    ordered = F.array_sort(F.collect_set(F.struct(F.xxhash64("leader").alias("turn"), "leader")))
+    led = runs.groupBy("node").agg(F.slice(ordered, 1, FIRST).alias("l")).select("node", F.explode("l.leader").alias("leader"))
+    led = stored(led.select(F.pmod(F.xxhash64("node"), F.lit(deals)).alias("deal"), F.lit(0).cast("long").alias("sig"), "leader", "node"), "led")
+    both_ends = stored(led.select("deal", "node").union(led.select("deal", "leader")).distinct(), "ends")
+    first = links(in_runs(led, both_ends, None), "star")
+    dropped(led)
+    dropped(both_ends)
     comp = stored(components(first), "comp")
-    edges = stored(first.union(links(in_runs(dealt, comp), "across")), "edges")
+    edges = stored(first.union(links(in_runs(dealt, members, comp), "across")), "edges")
     for step in (runs, members, texts, first, comp):
         dropped(step)
     last = components(edges)
