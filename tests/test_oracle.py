@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tracelake.plans import more, registry  # noqa: F401
+from tracelake.plans import further, more, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")

@@ -116,3 +116,10 @@ def matched(queries: DataFrame, projects: DataFrame, top: int = 5, near: DataFra
     score = F.when(base.isNotNull(), base + F.coalesce("close", F.lit(0.0))).otherwise(F.col("close") * boost)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "project_id")
     return scored.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "project_id", "display_name", "score", "rank")
+
+
+def matched_or_inferred(queries: DataFrame, projects: DataFrame, unindexed: DataFrame, top: int = 5) -> DataFrame:
+    """`matched` and, for questions without any match, one more try with the projects of files that are not indexed yet (inferred)."""
+    found = matched(queries, projects, top)
+    again = matched(queries.join(found.select("query_id").distinct(), "query_id", "left_anti"), unindexed, top)
+    return found.withColumn("inferred", F.lit(False)).unionByName(again.withColumn("inferred", F.lit(True)))

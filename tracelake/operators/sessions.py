@@ -98,12 +98,19 @@ def statistics(events: DataFrame, outcome: DataFrame) -> DataFrame:
 
 
 def patterns(episodes: DataFrame, least: int, top: int) -> DataFrame:
-    """Recurring problems: (first tag, longest distinctive word of the problem) with at least `least` episodes."""
-    words = F.filter(F.regexp_extract_all(F.lower("problem_description"), F.lit(r"[a-z]{5,}"), F.lit(0)), lambda x: ~x.isin(rules.STOPWORDS))
+    """Recurring problems: (first tag or "unknown", longest distinctive word of the problem or "general") with at least `least`
+    episodes, three different examples of 120 characters (the newest first) and the newest fix."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.substring("problem_description", 1, 300)), F.lit(r"[a-z][a-z0-9]{4,}"), F.lit(0)), lambda x: ~x.isin(rules.PATTERN_STOPWORDS))
     word = F.transform(F.array_sort(F.transform(words, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))), lambda s: s["x"])
-    keyed = episodes.select("episode_id", "problem_description", "fix_summary", F.coalesce(F.try_element_at("tags", F.lit(1)), F.lit("other")).alias("tag"), F.try_element_at(word, F.lit(1)).alias("word")).where("word is not null")
-    got = keyed.groupBy("tag", "word").agg(F.count(F.lit(1)).alias("n"), F.min("problem_description").alias("example"), F.min_by("fix_summary", F.when(F.col("fix_summary").isNotNull(), F.col("episode_id"))).alias("fix")).where(F.col("n") >= least)
-    return got.orderBy(F.desc("n"), "tag", "word").limit(top)
+    keyed = episodes.select("episode_id", "ended_at", "problem_description", "fix_summary", F.coalesce(F.try_element_at("tags", F.lit(1)), F.lit("unknown")).alias("tag"), F.coalesce(F.try_element_at(word, F.lit(1)), F.lit("general")).alias("word"))
+    place = F.struct("ended_at", "episode_id")
+    n = keyed.groupBy("tag", "word").agg(F.count(F.lit(1)).alias("n"), F.max_by("fix_summary", F.when(F.coalesce("fix_summary", F.lit("")) != "", place)).alias("fix")).where(F.col("n") >= least)
+    best = n.orderBy(F.desc("n"), "tag", "word").limit(top)
+    shown = keyed.where(F.trim("problem_description") != "").withColumn("head", F.lower(F.substring("problem_description", 1, 60)))
+    shown = shown.groupBy("tag", "word", "head").agg(F.max(F.struct("ended_at", "episode_id", F.trim(F.substring("problem_description", 1, 120)).alias("text"))).alias("e"))
+    w = W.partitionBy("tag", "word").orderBy(F.desc("e.ended_at"), F.desc("e.episode_id"))
+    three = shown.withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("tag", "word").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "e.text"))), lambda x: x["text"]).alias("examples"))
+    return best.join(three, ["tag", "word"], "left")
 
 
 def recap(sessions: DataFrame, outcome: DataFrame, events: DataFrame, since) -> DataFrame:

@@ -11,8 +11,10 @@ from ..functions import extract as X
 from ..operators import episodes as G, projects as P, recall as J, replay as K, search as I, segments as H, sessions as S
 from ..streaming import live
 from ..testmap import session_events as ev
-from .registry import GAP, WITH, _prints, query, table
+from .registry import EPISODE_SQL, GAP, OUTCOME_SQL, SEGMENT_SQL, SPLIT_SQL, WITH, _prints, query, table
 
+PLAIN_STATE_SQL = """l as (select session_id, file_path, list({'id': event_id, 'o': old_content, 'n': new_content} order by sequence) as e from ev where file_operation = 'edit' group by all),
+ plain as (select session_id, file_path, list_reduce(e, lambda a, x: case when instr(a.t, x.o) > 0 then {'t': substring(a.t, 1, instr(a.t, x.o) - 1) || x.n || substring(a.t, instr(a.t, x.o) + length(x.o))} else a end, {'t': e[1].o}).t as content, e[-1].id as last_event_id from l)"""
 HASH = "substring(md5(cast(o_orderkey as varchar)), 1, 8)"
 
 
@@ -74,13 +76,10 @@ def c19_error_keywords(s, sf):
     return ev(s, sf).select("event_id", F.array_join(F.array_sort(X.error_keywords(F.col("content"))), " ").alias("words"))
 
 
-@query("select c_custkey, 'my shop ' || c_nationkey || ',my-shop_' || c_nationkey || ',shop,the crm,crm' as names from customer")
+@query("select c_custkey, array_to_string(list_sort(['my shop ' || c_nationkey, 'my-shop_' || c_nationkey, 'shop', 'the crm', 'crm']), ',') as names from customer where c_nationkey < 100")
 def f3_aliases(s, sf):
-    """Names of a project as a set; the SQL lists them in another order, so both sides sort."""
     a = P.aliases(F.concat(F.lit("/srv/my-shop_"), "c_nationkey"), F.lit("crm"))
-    want = F.array(F.concat(F.lit("my shop "), "c_nationkey"), F.concat(F.lit("my-shop_"), "c_nationkey"), F.lit("shop"), F.lit("the crm"), F.lit("crm"))
-    ordered = F.array_join(F.array_sort(a, lambda x, y: (F.array_position(want, x) - F.array_position(want, y)).cast("int")), ",")
-    return table(s, sf, "customer").where(F.length(F.col("c_nationkey").cast("string")) < 3).select("c_custkey", ordered.alias("names"))
+    return table(s, sf, "customer").where("c_nationkey < 100").select("c_custkey", F.array_join(F.array_sort(a), ",").alias("names"))
 
 
 @query(f"{WITH} select session_id, 'python' as languages from ev where file_path is not null group by session_id")
@@ -103,7 +102,7 @@ def h3_time_gaps(s, sf):
     return ev(s, sf).select("event_id", F.coalesce(at - F.lag(at).over(in_order()) > GAP, F.lit(False)).alias("gap"))
 
 
-@query()
+@query(f"{WITH}, {SPLIT_SQL}, {SEGMENT_SQL} select segment_type, count(*) as n from segs group by segment_type")
 def h6_segment_types(s, sf):
     return H.segments(ev(s, sf), gap=GAP).groupBy("segment_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -167,7 +166,7 @@ def i1_embedded_texts(s, sf):
     return I.embedder(docs, size=64)(docs).select("id", F.size("vector").alias("size"))
 
 
-@query()
+@query(f"{WITH}, {EPISODE_SQL}, {PLAIN_STATE_SQL} select e.session_id, e.fix_event_id, e.episode_id, e.problem_event_id, t.file_path, t.content from eps e left join plain t on t.session_id = e.session_id and t.last_event_id = e.fix_event_id")
 def l12_episode_detail(s, sf):
     e = ev(s, sf)
     g = G.episodes(e).select("episode_id", "session_id", "problem_event_id", "fix_event_id")
@@ -175,7 +174,7 @@ def l12_episode_detail(s, sf):
     return g.join(states, ["session_id", "fix_event_id"], "left")
 
 
-@query()
+@query(f"{WITH}, {OUTCOME_SQL}, {EPISODE_SQL}, n as (select session_id, count(*) as episodes from eps group by session_id) select session_id, outcome, coalesce(episodes, 0) as episodes from outcome left join n using (session_id)")
 def n2_reanalysed(s, sf):
     """Derived tables again from events alone: sessions by outcome and their number of episodes."""
     e = ev(s, sf)
@@ -184,7 +183,11 @@ def n2_reanalysed(s, sf):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-streams-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-streams-", dir="/tmp")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
