@@ -78,9 +78,69 @@ def test_upserts(spark):
     for _ in range(2):
         live.upsert_stream(stream, f"{d}/table", f"{d}/cp", ["event_id"]).awaitTermination()
         _events(spark, f"{d}/in", 7)
-    assert spark.read.parquet(f"{d}/table").count() == 7
+    assert tables.keyed_table(spark, f"{d}/table").count() == 7
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
     assert sorted(map(tuple, tables.upserted(old, new, ["id"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     files = spark.createDataFrame([("a", 1), ("b", 2)], "path string, size int")
     assert [r.path for r in tables.to_ingest(files, files.where("path = 'a'")).collect()] == ["b"]
+
+
+def test_live_ingest_and_whole_pass(spark):
+    import json
+
+    from tracelake import parse
+
+    d = pathlib.Path(tempfile.mkdtemp(prefix="spark-t-"))
+    (d / "in").mkdir()
+    f = d / "in" / "a.jsonl"
+    entry = lambda i: json.dumps({"type": "user", "uuid": f"u{i}", "sessionId": "s", "timestamp": f"2024-01-01T00:00:0{i}Z", "message": {"role": "user", "content": f"text {i}"}}) + "\n"
+    f.write_text(entry(0) + entry(1))
+    q = live.live_ingest(live.tail(spark, str(d / "in")), str(d / "table"), str(d / "cp"))
+    try:
+        q.processAllAvailable()
+        with f.open("a") as out:
+            out.write(entry(2) + entry(3))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = lambda: sorted((r.event_id, r.sequence, r.content) for r in tables.keyed_table(spark, str(d / "table")).collect())
+    assert got() == [(f"u{i}", i, f"text {i}") for i in range(4)]
+    f.write_text(entry(1) + entry(4))
+    lines = spark.createDataFrame([(str(f), i, x) for i, x in enumerate(f.read_text().splitlines())], "path string, line_no long, raw string")
+    live.whole_pass(lines, str(d / "table"))
+    assert got() == sorted((r.event_id, r.sequence, r.content) for r in parse.events(lines).collect()) and len(got()) == 2
+    # a write that did not commit is not seen
+    (d / "table" / "version=000000000099" / "key_bucket=1").mkdir(parents=True)
+    assert len(got()) == 2
+
+
+def test_numbers_go_on_from_a_table(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    d = tempfile.mkdtemp(prefix="spark-t-")
+    _events(spark, f"{d}/in", 6)
+    stored = spark.createDataFrame([("s1", 4), ("s1", 7), ("s2", 0)], "session_id string, sequence long")
+    stream = spark.readStream.schema("event_id string, session_id string, ts timestamp").parquet(f"{d}/in")
+    q = live.numbered(stream, stored).writeStream.format("memory").queryName("numbered_on").start()
+    try:
+        q.processAllAvailable()
+        assert sorted((r.session_id, r.sequence) for r in spark.table("numbered_on").collect()) == [("s0", 0), ("s0", 1), ("s1", 8), ("s1", 9), ("s2", 1), ("s2", 2)]
+    finally:
+        q.stop()
+
+
+def test_results_find_calls_of_earlier_batches(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    d = tempfile.mkdtemp(prefix="spark-t-")
+    schema = "session_id string, event_id string, ts timestamp, event_type string, tool_use_id string, tool_name string"
+    put = lambda rows: spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    put([("s", "c1", "2024-01-01 00:00:00", "tool_call", "t1", "Bash"), ("s", "c2", "2024-01-01 00:00:01", "tool_call", "t2", "Read"), ("s", "r2", "2024-01-01 00:00:02", "tool_result", "t2", None)])
+    q = live.linked(spark.readStream.schema(schema).parquet(f"{d}/in")).writeStream.format("memory").queryName("linked").start()
+    try:
+        q.processAllAvailable()
+        put([("s", "r1", "2024-01-01 00:01:00", "tool_result", "t1", None), ("x", "r9", "2024-01-01 00:01:00", "tool_result", "t1", None)])
+        q.processAllAvailable()
+        assert sorted(tuple(r) for r in spark.table("linked").where("call_event_id is not null").collect()) == [("s", "r1", "c1", "Bash"), ("s", "r2", "c2", "Read")]
+        assert spark.table("linked").where("event_id = 'r9' and call_event_id is null").count() == 1
+    finally:
+        q.stop()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..operators import episodes as G, projects as P, recall as J, replay as K, search as I, segments as H, sessions as S
+from ..sources.tables import keyed_table
 from ..streaming import live
 from ..testmap import session_events as ev
 from .registry import EPISODE_SQL, GAP, OUTCOME_SQL, SEGMENT_SQL, SPLIT_SQL, WITH, _prints, query, table
@@ -210,4 +211,4 @@ def m8_live_upserts(s, sf):
     """A keyed table kept by a stream."""
     out = _folder(s)
     live.upsert_stream(_streamed(s, sf), f"{out}/table", f"{out}/checkpoint", ["event_id"]).awaitTermination()
-    return s.read.parquet(f"{out}/table").select("event_id", "session_id")
+    return keyed_table(s, f"{out}/table").select("event_id", "session_id")

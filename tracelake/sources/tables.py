@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -18,18 +16,53 @@ def newest(df: DataFrame, key: list[str], by: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(*key, "_r.*")
 
 
-def keyed_overwrite(spark: SparkSession, path: str, new: DataFrame, key: list[str]) -> None:
-    """Writes the upsert beside the table and swaps the folders, so a reader sees the old table or the new one."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    at = fs_path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        new.write.parquet(path)
-        return
-    side = f"{path}-{uuid.uuid4().hex}"
-    upserted(spark.read.parquet(path), new, key).write.parquet(side)
-    fs.delete(at, True)
-    fs.rename(fs_path(side), at)
+BUCKETS = 16  # of a table; large tables want more, and a table keeps the number it began with
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[dict[int, list[str]], int]:
+    """Folders of each bucket in committed versions, oldest first, and the highest version, committed or not."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[str]] = {}
+    last = 0
+    for v in sorted(str(x.getPath()) for x in fs.listStatus(make(path))) if fs.exists(make(path)) else []:
+        name = v.rsplit("/", 1)[1]
+        if not name.startswith("version="):
+            continue
+        last = max(last, int(name[8:]))
+        if fs.exists(make(f"{v}/_SUCCESS")):
+            for b in fs.listStatus(make(v)):
+                if b.getPath().getName().startswith("key_bucket="):
+                    found.setdefault(int(b.getPath().getName()[11:]), []).append(str(b.getPath()))
+    return found, last
+
+
+def keyed_table(spark: SparkSession, path: str) -> DataFrame:
+    """A keyed table as its last finished write left it; a write that failed half-way is never seen."""
+    found, _ = _folders(spark, path)
+    return spark.read.parquet(*[f[-1] for _, f in sorted(found.items())])
+
+
+def keyed_overwrite(spark: SparkSession, path: str, new: DataFrame, key: list[str], bucket_by: list[str] | None = None) -> None:
+    """Upserts rows; new may hold several rows of a key, which replace all old ones.
+
+    Rows lie in BUCKETS buckets by hash of bucket_by (the key, if not given).  A write makes a new version with the buckets that new rows touch
+    and no others, and readers take each bucket from the newest version whose commit marker is there, so they see the
+    table before or after the write.  Of each bucket the version before the last one stays, for readers that have listed it.
+    """
+    bucket = F.pmod(F.xxhash64(*(bucket_by or key)), F.lit(BUCKETS)).cast("int")
+    new = new.withColumn("key_bucket", bucket).persist()
+    touched = [r.key_bucket for r in new.select("key_bucket").distinct().collect()]  # at most BUCKETS
+    if touched:
+        found, last = _folders(spark, path)
+        old = [found[b][-1] for b in touched if b in found]
+        rows = upserted(spark.read.parquet(*old).withColumn("key_bucket", bucket), new, key) if old else new
+        rows.repartition("key_bucket").write.partitionBy("key_bucket").parquet(f"{path}/version={last + 1:012d}")
+        make = spark._jvm.org.apache.hadoop.fs.Path
+        for b in touched:
+            for folder in found.get(b, [])[:-1]:
+                make(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(make(folder), True)
+    new.unpersist()
 
 
 def to_ingest(files: DataFrame, log: DataFrame) -> DataFrame:

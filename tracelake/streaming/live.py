@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.tables import keyed_overwrite
+from .. import parse
+from ..sources.tables import _folders, keyed_overwrite, keyed_table
 
 
 class TailReader(SimpleDataSourceStreamReader):
@@ -82,6 +83,9 @@ class Sequence(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "n long")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.next.update((int(initialState["next"].iloc[0]),))
+
     def handleInputRows(self, key, rows, timerValues):
         n = self.next.get()[0] if self.next.exists() else 0
         for pdf in rows:
@@ -95,9 +99,68 @@ class Sequence(StatefulProcessor):
         pass
 
 
-def numbered(events: DataFrame) -> DataFrame:
-    """(session_id, event_id, sequence) of a stream with session_id, event_id and ts; needs the RocksDB state store."""
-    return events.select("session_id", "event_id", "ts").groupBy("session_id").transformWithStateInPandas(Sequence(), "session_id string, event_id string, sequence long", "Append", "None")
+def numbered(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(session_id, event_id, sequence) of a stream with session_id, event_id and ts; needs the RocksDB state store.
+
+    Sessions of stored (session_id, sequence) go on after their largest sequence.
+    """
+    first = None if stored is None else stored.groupBy("session_id").agg((F.max("sequence") + 1).alias("next")).groupBy("session_id")
+    return events.select("session_id", "event_id", "ts").groupBy("session_id").transformWithStateInPandas(Sequence(), "session_id string, event_id string, sequence long", "Append", "None", initialState=first)
+
+
+class Calls(StatefulProcessor):
+    """Remembers a session's calls until their result comes, so results in later batches find theirs."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.calls = handle.getMapState("calls", "tool_use_id string", "event_id string, tool_name string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            out = []
+            for r in pdf.sort_values(["ts", "event_id"]).itertuples():
+                if r.tool_use_id is None:
+                    continue
+                if r.event_type == "tool_call":
+                    self.calls.updateValue((r.tool_use_id,), (r.event_id, r.tool_name))
+                elif r.event_type == "tool_result":
+                    known = self.calls.containsKey((r.tool_use_id,))
+                    out.append((key[0], r.event_id, *(self.calls.getValue((r.tool_use_id,)) if known else (None, None))))
+                    if known:
+                        self.calls.removeKey((r.tool_use_id,))
+            yield pd.DataFrame(out, columns=["session_id", "event_id", "call_event_id", "call_tool"])
+
+    def close(self) -> None:
+        pass
+
+
+def linked(events: DataFrame) -> DataFrame:
+    """(session_id, event_id, call_event_id, call_tool) of a stream's results; a call may come in an earlier batch."""
+    cols = ["session_id", "event_id", "ts", "event_type", "tool_use_id", "tool_name"]
+    return events.select(*cols).groupBy("session_id").transformWithStateInPandas(Calls(), "session_id string, event_id string, call_event_id string, call_tool string", "Append", "None")
+
+
+def live_ingest(lines: DataFrame, path: str, checkpoint: str):
+    """A stream of new lines (path, line_no, raw) into the keyed table of events; starts and returns the query.
+
+    A file's new events are numbered on from its largest stored sequence.  A repeated batch replaces its own events.  Links and
+    ids that need earlier lines are best effort until `whole_pass` reads the closed file.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        e = parse.events(batch)
+        if _folders(spark, path)[0]:
+            ids = e.select("transcript_path", "event_id").distinct()
+            before = keyed_table(spark, path).join(ids, ["transcript_path", "event_id"], "left_anti").groupBy("transcript_path").agg((F.max("sequence") + 1).alias("_next"))
+            e = e.join(before, "transcript_path", "left").withColumn("sequence", F.col("sequence") + F.coalesce("_next", F.lit(0))).drop("_next")
+        keyed_overwrite(spark, path, e, ["transcript_path", "event_id"], ["transcript_path"])
+
+    return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+
+
+def whole_pass(lines: DataFrame, path: str) -> None:
+    """Parses the whole lines of closed files and replaces all that the table holds of these files."""
+    keyed_overwrite(lines.sparkSession, path, parse.events(lines), ["transcript_path"])
 
 
 def unrepeated(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -105,12 +168,13 @@ def unrepeated(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def upsert_stream(events: DataFrame, path: str, checkpoint: str, key: list[str]):
-    """Keeps a keyed table up to date; a repeated batch changes nothing."""
+def upsert_stream(events: DataFrame, path: str, checkpoint: str, key: list[str], by: str = "ts"):
+    """Keeps a keyed table up to date; of a batch's rows with one key the last by `by` counts, and a repeated batch changes nothing."""
 
     def put(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            keyed_overwrite(batch.sparkSession, path, batch.dropDuplicates(key), key)
+        rest = [c for c in batch.columns if c not in key]
+        last = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(by, F.xxhash64(*rest))).alias("_r")).select(*key, "_r.*")
+        keyed_overwrite(batch.sparkSession, path, last, key)
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
