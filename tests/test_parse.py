@@ -64,7 +64,7 @@ def test_derived(events):
     assert len(got) == 1
     x = got[0]
     assert (x.problem_event_id, x.fix_event_id, x.verification_event_id, x.status, x.fix_commit_hash) == ("u3", "a4", "u5", "resolved", "abc1234")
-    assert x.problem_description.startswith("Ask: fix auth. Traceback") and x.touched_files == ["/w/auth.py"] and x.tags == ["python"]
+    assert x.problem_description.startswith("Ask: fix auth. Error: Traceback") and x.touched_files == ["/w/auth.py"] and x.tags == ["python"]
     assert sessions.outcomes(e).first().outcome == "fixed"
     roll = sessions.rollup(e.withColumn("ts", e.ts.cast("timestamp_ntz"))).first()
     assert (roll.tool_call_count, roll.file_edit_count, roll.model) == (3, 1, "m")
