@@ -108,3 +108,11 @@ def test_empty_and_nulls(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = jaccard_components(docs).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == [(-1, 2, 3), (2, 0, 2), (3, 2, 3), (3, 2, 3)]
+
+
+@pytest.mark.parametrize("id_bits", [3, 7])
+def test_sets_with_equal_ids_stay_apart(spark, id_bits):
+    """With ids of so few bits nearly all sets share theirs with others."""
+    rows = corpus(id_bits)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard_components(docs, id_bits=id_bits).collect())) == brute(rows)

@@ -40,7 +40,7 @@ CROWD = 64
 PAIR = "a long, b long"
 LEADERS = 2
 FIRST = 3
-SETS = "doc_id long, mark long, n_shingles long, node long, sketch binary, often array<struct<f: long, n: long>>"
+SETS = "doc_id long, mark long, n_shingles long, node long, more long, sketch binary, often array<struct<f: long, n: long>>"
 POPULAR = 0.0005  # share of the documents that makes a shingle a popular one
 PACKED = "bucket int, sigs binary, nodes binary, times binary"
 
@@ -67,12 +67,20 @@ class Bands:
         return np.searchsorted(self.lows, sizes, "right") - 1
 
 
-def node_ids(f: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit id of each set: the sum of its mixed elements; empty sets have 0."""
-    total = np.zeros(len(f) + 1, U64)
-    np.cumsum(mix(f ^ U64(0xD6E8FEB86659FD93)), out=total[1:])
-    end = np.cumsum(sizes)
-    return mix(total[end] - total[end - sizes] + sizes.astype(U64))
+def set_ids(f: np.ndarray, sizes: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """An id of each set, of so many bits, and 32 more bits that tell apart sets whose ids are equal by chance; both are sums of
+    the set's mixed elements."""
+    end, out = np.cumsum(sizes), []
+    for salt in (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)):
+        total = np.zeros(len(f) + 1, U64)
+        np.cumsum(mix(f ^ salt), out=total[1:])
+        out.append(mix(total[end] - total[end - sizes] + sizes.astype(U64)))
+    return out[0] >> U64(64 - bits), out[1] >> U64(32)
+
+
+def told_apart(ids: np.ndarray, more: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The ids, those in shared with the further bits of their sets taken in."""
+    return np.where(np.isin(ids, shared), ids ^ more << U64(31), ids)
 
 
 def sketches(f: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -145,9 +153,9 @@ def signatures(f: np.ndarray, sizes: np.ndarray, bands: Bands, popular: np.ndarr
     return np.concatenate(out), np.concatenate(names)
 
 
-def _sets(width: int):
+def _sets(width: int, id_bits: int):
     """A row a document, and one a batch with the shingles that came often in it."""
-    kinds = [("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("often", pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))]
+    kinds = [("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("more", pa.int64()), ("sketch", pa.binary()), ("often", pa.list_(pa.struct([("f", pa.int64()), ("n", pa.int64())])))]
 
     def made(*columns):
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)], [name for name, _ in kinds])
@@ -158,22 +166,23 @@ def _sets(width: int):
             for part in slices(batch, "text"):
                 f, _, sizes = shingles(part.column(1), width)
                 held.append(f)
-                yield made(part.column(0), part.column(2), sizes, node_ids(f, sizes).view(np.int64), sketches(f, sizes), [None] * part.num_rows)
+                ids, more = set_ids(f, sizes, id_bits)
+                yield made(part.column(0), part.column(2), sizes, ids.view(np.int64), more.view(np.int64), sketches(f, sizes), [None] * part.num_rows)
             seen, n = np.unique(np.concatenate(held or [np.zeros(0, U64)]), return_counts=True)
             often = n >= max(3, POPULAR / 2 * batch.num_rows)  # a popular shingle is so in many batches
             if often.any():
-                yield made([None], [None], [0], [0], [b""], [[{"f": int(a), "n": int(b)} for a, b in zip(seen[often].view(np.int64), n[often], strict=True)]])
+                yield made([None], [None], [0], [0], [0], [b""], [[{"f": int(a), "n": int(b)} for a, b in zip(seen[often].view(np.int64), n[often], strict=True)]])
 
     return run
 
 
-def _signed(width: int, percent: int, largest: int, bits: int, popular):
+def _signed(width: int, percent: int, largest: int, bits: int, popular, id_bits: int, shared: np.ndarray):
     def run(batches):
         bands = Bands(largest, percent)
         for batch in batches:
             for part in slices(batch, "text"):
                 f, d, sizes = shingles(part.column(1), width)
-                ids = node_ids(f, sizes)
+                ids = told_apart(*set_ids(f, sizes, id_bits), shared)
                 one = np.zeros(len(ids), bool)
                 one[np.unique(ids, return_index=True)[1]] = True
                 one &= sizes > 0
@@ -362,7 +371,7 @@ def _near(percent: int, star: bool):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, id_bits: int = 64) -> DataFrame:
     """Links texts whose shingle sets have a Jaccard similarity of at least percent / 100.
 
     docs needs doc_id (integer) and text; other columns are ignored.  Returns for every row:
@@ -370,18 +379,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     Null and blank texts have no shingles and their own id as component.  Rows with a null
     doc_id link others but name no component.  Repeated rows are returned as often as they
     come.  An empty table gives an empty result.
+
+    A set has an id of id_bits bits.  Ids that several sets have by chance (three of 64 bits are to be expected among 10^10
+    sets) are found and lengthened, so these sets stay apart.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
-    both = stored(docs.mapInArrow(_sets(width), SETS), "sets")
+    both = stored(docs.mapInArrow(_sets(width, id_bits), SETS), "sets")
     sets = both.where("often is null").drop("often")
     source = F.min(F.struct("doc_id", "mark")).alias("source")  # one row that has the set
-    nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), source, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    further = (F.min("more").alias("more"), F.max("more").alias("most"))
+    known_by = lambda of: stored(of.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), source, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), *further), "nodes")
+    nodes = known_by(sets)
+    shared = [r.node for r in nodes.where("more <> most").select("node").collect()]  # about (number of sets)^2 / 2^65
+    if shared:
+        dropped(nodes)
+        sets = sets.withColumn("node", F.when(F.col("node").isin(shared), F.col("node").bitwiseXOR(F.shiftleft("more", 31))).otherwise(F.col("node")))
+        nodes = known_by(sets)
     total, largest = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     # at most (shingles of a document on average) / POPULAR of them can be popular, whatever the number of documents
     often = both.where("often is not null").select(F.inline("often")).groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(POPULAR * sets.count())).select("f")
     popular = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.f for r in often.collect()], np.int64).view(U64)))
     bits = max(3, int(np.ceil(np.log2(max(1, 1.3 * total / BUCKET_SIGNATURES)))))
-    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits, popular), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs", release=True)
+    runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits, popular, id_bits, np.array(shared, np.int64).view(U64)), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs", release=True)
 
     deals = max(8, -(-runs.count() // DEAL_ROWS))
     # a leader's runs meet in one deal, so a pair that many of them hold comes once; only the few with very many rows are split
