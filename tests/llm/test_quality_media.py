@@ -44,6 +44,43 @@ def test_shrinkage(spark):
     assert got[99].evidence < 0.1 < 0.5 < got[99].host_posterior < got[0].host_posterior
 
 
+def test_posteriors_by_hand(spark):
+    """Sums, prior strengths, posteriors and scores again in plain Python, over sites from one row to many."""
+    r = random.Random(5)
+    rows = [(i, t, r.choice(["a", "b", "c", f"solo{i % 40}", None]), r.choice(["x", "y", f"only{i}", None])) for i, t, _ in texts(300, 9)]
+    rows += [rows[0], (None, None, "a", "x"), (900, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    got = quality.scored(docs, quality.fit([(t, y) for _, t, y in texts(200, 10)])).collect()
+    assert len(got) == len(rows)
+    evidence = {x.doc_id: x.evidence for x in got}
+    sites: dict = {}
+    for d, _, h, p in rows:
+        sites.setdefault(h, {}).setdefault(p, []).append(evidence[d])
+    hosts = {h: [e for es in ps.values() for e in es] for h, ps in sites.items()}
+    everything = [e for es in hosts.values() for e in es]
+    mean = sum(everything) / len(everything)
+
+    def strength(groups):
+        """groups: (values, prior mean) of each group."""
+        many = [(len(v), sum(v) / len(v), m) for v, m in groups if len(v) > 1]
+        total = sum(n for n, _, _ in many)
+        spread = sum(n * (x - m) ** 2 for n, x, m in many) - sum(m * (1 - m) for _, _, m in many)
+        if not many or spread <= 0:
+            return 1e6
+        return min(1e6, max(2.0, sum(n * m * (1 - m) for n, _, m in many) / spread - 1))
+
+    k = strength([(v, mean) for v in hosts.values()])
+    host = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+    k = strength([(v, host[h]) for h, ps in sites.items() for v in ps.values()])
+    path = {(h, p): (sum(v) + k * host[h]) / (len(v) + k) for h, ps in sites.items() for p, v in ps.items()}
+    odds = lambda x: np.log(x / (1 - x))
+    where = {d: (h, p) for d, _, h, p in rows}
+    for x in got:
+        h, p = where[x.doc_id]
+        score = 1 / (1 + np.exp(-(odds(max(x.evidence, 1e-9)) + odds(path[h, p]) - odds(mean))))
+        assert np.allclose([x.host_posterior, x.path_posterior, x.score], [host[h], path[h, p], score], atol=1e-9) and x.keep == (x.score >= 0.5)
+
+
 def test_features_are_whole():
     long = "a b c. " * 20000 + "| " * 20000
     x = quality.features(pa.array([long, None, "", "Ab"]))

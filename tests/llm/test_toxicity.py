@@ -68,3 +68,58 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.scored(docs, toxicity.fit_on(docs, none)).count() == 1
     assert toxicity.scored(docs.limit(0), toxicity.fit([("a", 1)])).collect() == []
+
+
+def test_scores_by_plain_loops():
+    """Tokens, their inputs, both directions, the attention and the highest window again, one token at a time."""
+    rows = [(x, y) for _, x, y in corpus(200, 3)]
+    model = toxicity.fit(rows, epochs=2)
+    p, tables = model["network"], model["tables"]
+    texts = [rows[0][0], "One tWo, three", "x", "", "... !", " ".join(f"w{i % 7} nasty{i}" for i in range(120)), "ä" * 3 + " Öl", rows[1][0] * 3]
+
+    def tokens(text):
+        out, now = [], b""
+        for b in text.encode():
+            if b < 128 and not chr(b).isalnum():
+                out, now = out + [now] * bool(now), b""
+            else:
+                now += bytes([b + 32 if 65 <= b <= 90 else b])
+        return out + [now] * bool(now)
+
+    def vector(token):
+        one = toxicity.Tokens(pa.array([token.decode()]))
+        a, b = (tables[f"w{i}"][one.word[i][0]] for i in (0, 1))
+        out = [a, b, a if abs(a) < abs(b) else b, np.log(len(token) + 2) - 2]
+        marked = b"\2" + token + b"\3"
+        for i, g in enumerate(toxicity.GRAMS):
+            odds = [tables[f"g{i}"][one.grams[i][0][j]] for j in range(len(marked) - g + 1)]
+            out += [max([-2.0, *odds]), sum(odds) / max(1, len(odds))]
+        return np.array(out)
+
+    def cell(d, x, h):
+        k = len(h)
+        g, u = x @ p[f"{d}W"] + p[f"{d}b"], h @ p[f"{d}U"]
+        r, z = (1 / (1 + np.exp(-(g[s] + u[s]))) for s in (slice(0, k), slice(k, 2 * k)))
+        return (1 - z) * np.tanh(g[2 * k :] + r * u[2 * k :]) + z * h
+
+    def logit(window):
+        ways = []
+        for d, order in (("f", window), ("b", window[::-1])):
+            h, out = np.zeros(len(p["fU"])), []
+            for x in order:
+                h = cell(d, x, h)
+                out.append(h)
+            ways.append(out if d == "f" else out[::-1])
+        states = [np.concatenate(x) for x in zip(*ways, strict=True)]
+        e = np.array([np.tanh(s @ p["aW"]) @ p["av"] for s in states])
+        w = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        return sum(a * s for a, s in zip(w, states, strict=True)) @ p["o"] + p["c"][0]
+
+    want = []
+    for text in texts:
+        v = [vector(t) for t in tokens(text)]
+        edges = [0]
+        while edges[-1] + toxicity.WINDOW < len(v):
+            edges.append(edges[-1] + toxicity.STRIDE)
+        want.append(max(logit(v[i : i + toxicity.WINDOW]) for i in edges) if v else model["empty"])
+    assert np.allclose(toxicity.Tokens(pa.array(texts)).scores(model), want, atol=1e-3)

@@ -89,8 +89,8 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> dict:
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     picked = known.orderBy(turn, "doc_id").limit(MOST)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.octet_length("text") <= LONGEST)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()  # at most MOST texts of LONGEST bytes
-    return fit([(r.text, r.y) for r in sorted(rows)[: 2 * MOST]])
+    texts = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one of a repeated id's texts
+    return fit([(r.text, r.y) for r in sorted(texts.select("doc_id", "text", "y").collect())])  # at most MOST texts of LONGEST bytes
 
 
 def _strength(groups: DataFrame, mean: str) -> float:
