@@ -20,9 +20,9 @@ Signatures travel packed, dealt by their high bits, with 32 more bits; that some
 adds pairs that the bound and the texts turn down.  Runs are then dealt by their leaders.  A run of one signature first gives pairs
 of a leader with the others; pairs survive an exact bound (parity sketches: the
 number of differing bits can't exceed the difference of the sets) and are verified on the
-texts.  Only runs that still hold several components then give further pairs, between
-components, filtered by the same bound before they leave the task; in large runs only sets
-outside the largest component are compared with the others.
+texts.  Runs that still hold several components, the leader's among them, then have all their pairs between
+components compared by the same bound and verified on the texts within one task; in large runs only sets outside the largest component
+are compared with the others.  Only links that join two components leave the task, so their number is below that of the sets.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from .components import components
 
 BUCKET_SIGNATURES = 3_000_000
 DEAL_ROWS = 500_000
+DEAL_SHINGLES = 4_000_000  # of the sets whose texts meet in one task
 CROWD = 64
 PAIR = "a long, b long"
 LEADERS = 2
@@ -292,81 +293,145 @@ def _verified(width: int, percent: int):
     return run
 
 
-def _near(percent: int, star: bool):
-    """Pairs of nodes of one run that the bound allows: those of its leader, or those of different components.
+def _led(percent: int):
+    """Pairs of a leader with its nodes that the bound allows.  Gets the rows of one deal and, once each, the nodes in them."""
 
-    Gets the runs of one deal and, once each, the nodes in them.
+    def run(key, rows, nodes):
+        nodes = nodes.take(pa.array(np.argsort(nodes.column("node").to_numpy())))
+        node, n = nodes.column("node").to_numpy(), nodes.column("n").to_numpy()
+        a, b = (np.searchsorted(node, rows.column(c).to_numpy()) for c in ("leader", "node"))
+        ok = _may_link(n[a], n[b], 0, percent)
+        a, b = a[ok], b[ok]
+        ok = _may_link(n[a], n[b], _Sketches(nodes.column("sketch").to_pylist()).differ(a, b), percent)
+        return pa.table({"a": node[np.minimum(a, b)[ok]], "b": node[np.maximum(a, b)[ok]]})
+
+    return run
+
+
+def _apart(width: int, percent: int, look: bool):
+    """Compares sets of one run whose components differ.  Gets the runs of one deal and, once each, the nodes in them.
+
+    With look, gives the nodes that have a pair the bound allows, so only their texts need to come.  Else gets these with their
+    texts and gives links.  A link is given only where it joins two components that no link found before has joined, so
+    there are fewer links than nodes, however many pairs a run has.
     """
 
     def run(key, runs, nodes):
         order = np.argsort(nodes.column("node").to_numpy())
         nodes = nodes.take(pa.array(order))
-        node, n, comp = (nodes.column(c).to_numpy() for c in ("node", "n", "comp"))
+        node, n = (nodes.column(c).to_numpy() for c in ("node", "n"))
+        comp = np.unique(nodes.column("comp").to_numpy(), return_inverse=True)[1]
+        text, sets, out = None if look else nodes.column("text"), {}, []
+        wanted = np.zeros(len(node), bool)
         sketches = _Sketches(nodes.column("sketch").to_pylist())
-        at = np.searchsorted(node, runs.column("node").to_numpy())
-        held, found, rows = [], [], 0
+        top = np.arange(len(node))  # of components
+
+        def find(c):
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        def now():
+            """Component of each node after the links found so far."""
+            while (top[top] != top).any():
+                top[:] = top[top]
+            return top[comp]
+
+        def load(which):
+            new = np.array([x for x in which.tolist() if x not in sets], np.int64)
+            texts = pa.table({"at": new, "text": text.take(pa.array(new))}).combine_chunks().to_batches() if len(new) else []
+            for batch in texts:
+                for part in slices(batch, "text"):
+                    f, _, sizes = shingles(part.column(1), width)
+                    sets.update(zip(part.column(0).to_pylist(), np.split(f, np.cumsum(sizes)[:-1]), strict=True))
+
+        def verify(a, b, differ):
+            """Pairs that the bound allows, the most similar ones first."""
+            if look:
+                wanted[a] = wanted[b] = True
+                return
+            load(np.unique(np.concatenate([a, b])))
+            order = np.argsort(differ, kind="stable")
+            for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                cx, cy = find(comp[x]), find(comp[y])
+                if cx == cy:
+                    continue
+                fx, fy = (sets[x], sets[y]) if n[x] <= n[y] else (sets[y], sets[x])
+                both = int((fy[np.minimum(np.searchsorted(fy, fx), len(fy) - 1)] == fx).sum())
+                if 100 * both >= percent * (len(fx) + len(fy) - both):
+                    top[max(cx, cy)] = min(cx, cy)
+                    out.append((node[x], node[y]))
+
+        held, waiting = [], 0
 
         def settle():
+            nonlocal waiting
             pairs = np.unique(np.concatenate(held))
             held.clear()
+            waiting = 0
             a, b = pairs // len(node), pairs % len(node)
-            ok = _may_link(n[a], n[b], 0, percent)
+            of = now()
+            ok = (of[a] != of[b]) & _may_link(n[a], n[b], 0, percent)
             a, b = a[ok], b[ok]
-            ok = _may_link(n[a], n[b], sketches.differ(a, b), percent)
-            found.append(a[ok] * len(node) + b[ok])
+            differ = sketches.differ(a, b)
+            ok = _may_link(n[a], n[b], differ, percent)
+            verify(a[ok], b[ok], differ[ok])
 
         def take(a, b):
-            nonlocal rows
+            nonlocal waiting
             ok = comp[a] != comp[b]
-            held.append(a[ok] * len(node) + b[ok])
-            rows += ok.sum()
-            if rows > 500_000:
+            held.append(np.minimum(a[ok], b[ok]) * len(node) + np.maximum(a[ok], b[ok]))
+            waiting += int(ok.sum())
+            if waiting > 500_000:
                 settle()
-                rows = 0
 
         def crowd(all_):
             """A large run: those outside its largest component against all, as a matrix of words."""
-            kinds, which, n_of = np.unique(comp[all_], return_inverse=True, return_counts=True)
-            out = all_[which != n_of.argmax()]
-            for x in np.unique(sketches.width[out]).tolist():
-                a = out[sketches.width[out] == x]
+            kinds, which, n_of = np.unique(now()[all_], return_inverse=True, return_counts=True)
+            rest = all_[which != n_of.argmax()]
+            for x in np.unique(sketches.width[rest]).tolist():
+                a = rest[sketches.width[rest] == x]
                 for y in np.unique(sketches.width[all_]).tolist():
                     b, w = all_[sketches.width[all_] == y], min(x, y)
                     right = sketches.folded(b, y, w)
                     most = max(1, (1 << 19) // max(1, right.size))
                     for k in range(0, len(a), most):
-                        part = a[k : k + most]
+                        part, of = a[k : k + most], now()
                         differ = np.bitwise_count(sketches.folded(part, x, w)[:, None] ^ right[None]).sum(2, dtype=np.int64)
-                        i, j = np.nonzero(_may_link(n[part][:, None], n[b][None], differ, percent) & (comp[part][:, None] != comp[b][None]))
-                        found.append(np.unique(np.minimum(part[i], b[j]) * len(node) + np.maximum(part[i], b[j])))
-
-        if star:
-            take(np.searchsorted(node, runs.column("leader").to_numpy()), at)
-        else:
-            sig = runs.column("sig").to_numpy()
-            order = np.lexsort((at, sig))
-            sig, at = sig[order], at[order]
-            edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, np.int64)
-            size = np.diff(edge)
-            # runs of one component need nothing more; of runs of the same sets one is enough
-            low, high = np.minimum.reduceat(comp[at], edge[:-1]), np.maximum.reduceat(comp[at], edge[:-1])
-            mark = np.add.reduceat(mix(node[at].view(U64)), edge[:-1])
-            first = np.zeros(len(size), bool)
-            first[np.unique(mark + size.astype(U64), return_index=True)[1]] = True
-            first &= low != high
-            for s in edge[:-1][first & (size > CROWD)]:
-                crowd(at[s : s + size[np.searchsorted(edge, s)]])
-            for m in np.unique(size[first & (size <= CROWD)]):
-                starts = edge[:-1][first & (size == m)]
-                i, j = np.triu_indices(m, 1)
-                most = max(1, 200_000 // max(1, len(i)))
-                for k in range(0, len(starts), most):
-                    s = starts[k : k + most][:, None]
-                    take(at[s + i].ravel(), at[s + j].ravel())
+                        i, j = np.nonzero(_may_link(n[part][:, None], n[b][None], differ, percent) & (of[part][:, None] != of[b][None]))
+                        if len(i):
+                            verify(part[i], b[j], differ[i, j])
+
+        sig, first = np.unique(runs.column("sig").to_numpy(), return_index=True)
+        sig = np.concatenate([runs.column("sig").to_numpy(), sig])  # a run's leader is one of its sets
+        of = np.concatenate([runs.column("node").to_numpy(), runs.column("leader").to_numpy()[first]])
+        here = np.isin(of, node)
+        sig, at = sig[here], np.searchsorted(node, of[here])
+        order = np.lexsort((at, sig))
+        sig, at = sig[order], at[order]
+        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, np.int64)
+        start, size = edge[:-1], np.diff(edge)
+        if len(start):
+            # of runs of the same sets one is enough
+            mark = np.add.reduceat(mix(node[at].view(U64)), start)
+            once = np.zeros(len(size), bool)
+            once[np.unique(mark + size.astype(U64), return_index=True)[1]] = True
+            start, size = start[once], size[once]
+        for m in np.unique(size[size <= CROWD]):
+            starts = start[size == m]
+            i, j = np.triu_indices(m, 1)
+            most = max(1, 200_000 // max(1, len(i)))
+            for k in range(0, len(starts), most):
+                s = starts[k : k + most][:, None]
+                take(at[s + i].ravel(), at[s + j].ravel())
         if held:
             settle()
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pa.table({"a": node[pairs // max(1, len(node))], "b": node[pairs % max(1, len(node))]})
+        for s, m in zip(start[size > CROWD], size[size > CROWD], strict=True):
+            crowd(at[s : s + m])
+        if look:
+            return pa.table({"deal": pa.array([key[0].as_py()] * int(wanted.sum()), pa.int64()), "node": node[wanted]})
+        return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(y) for _, y in out], pa.int64())})
 
     return run
 
@@ -402,44 +467,48 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, id_bi
     bits = max(3, int(np.ceil(np.log2(max(1, 1.3 * total / BUCKET_SIGNATURES)))))
     runs = stored(docs.mapInArrow(_signed(width, percent, largest, bits, popular, id_bits, np.array(shared, np.int64).view(U64)), PACKED).groupBy("bucket").applyInArrow(_runs, "sig long, leader long, node long"), "runs", release=True)
 
-    deals = max(8, -(-runs.count() // DEAL_ROWS))
-    # a leader's runs meet in one deal, so a pair that many of them hold comes once; only the few with very many rows are split
-    large = runs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / DEAL_ROWS).alias("cuts")).where("cuts > 1")  # fewer than deals
-    cut = F.pmod("sig", F.coalesce("cuts", F.lit(1)))
-    dealt = runs.join(F.broadcast(large), "leader", "left").select("sig", "leader", "node", F.pmod(F.xxhash64("leader", cut), F.lit(deals)).alias("deal"))
-    members = stored(dealt.select("deal", "node").union(dealt.select("deal", "leader")).distinct(), "members")
+
+    def ends(rows: DataFrame, *by: str) -> DataFrame:
+        """Each node of the rows once, leaders among them; columns of their own, so that the rows can be cogrouped with them."""
+        part = lambda c: rows.select(*(F.col(x).alias(x) for x in by), F.col(c).alias("node"))
+        return part("node").union(part("leader")).distinct()
+
     # texts come by their rows, not by an id that may be null or stand for several texts
-    sources = nodes.join(members.select("node").distinct(), "node").select("node", F.col("source.doc_id").alias("_id"), F.col("source.mark").alias("_mark"))
+    sources = nodes.join(ends(runs), "node").select("node", F.col("source.doc_id").alias("_id"), F.col("source.mark").alias("_mark"))
     rows = docs.join(sources, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["mark"] == F.col("_mark")))
     texts = stored(rows.select("node", "text").dropDuplicates(["node"]), "texts", release=True)
 
-    def known(comp: DataFrame | None) -> DataFrame:
-        rows = nodes.select("node", "n", "sketch")
-        return rows.withColumn("comp", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-
-    def in_runs(of: DataFrame, within: DataFrame, comp: DataFrame | None) -> DataFrame:
-        near = of.select("deal", "sig", "leader", "node").groupBy("deal").cogroup(within.join(known(comp), "node").groupBy("deal"))
-        return near.applyInArrow(_near(percent, comp is None), PAIR)
-
-    def links(near: DataFrame, name: str) -> DataFrame:
-        text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-        near = stored(near.distinct(), f"near-{name}", release=True)
-        found = stored(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(width, percent), PAIR).distinct(), f"links-{name}", release=True)
-        dropped(near)
-        return found
-
-    # the first step takes a set's pairs with FIRST of its leaders, one order of leaders for all sets, so it makes at most FIRST pairs a set;
-    # the second one then compares all sets of a run that are still apart, whatever the first one took
+    # first a set's pairs with FIRST of its leaders, one order of leaders for all sets: at most FIRST pairs a set
     ordered = F.array_sort(F.collect_set(F.struct(F.xxhash64("leader").alias("turn"), "leader")))
     led = runs.groupBy("node").agg(F.slice(ordered, 1, FIRST).alias("l")).select("node", F.explode("l.leader").alias("leader"))
-    led = stored(led.select(F.pmod(F.xxhash64("node"), F.lit(deals)).alias("deal"), F.lit(0).cast("long").alias("sig"), "leader", "node"), "led")
-    both_ends = stored(led.select("deal", "node").union(led.select("deal", "leader")).distinct(), "ends")
-    first = links(in_runs(led, both_ends, None), "star")
+    deals = max(8, -(-runs.count() // DEAL_ROWS))
+    led = stored(led.select(F.pmod(F.xxhash64("node"), F.lit(deals)).alias("deal"), "leader", "node"), "led")
+    near = led.groupBy("deal").cogroup(ends(led, "deal").join(nodes.select("node", "n", "sketch"), "node").groupBy("deal")).applyInArrow(_led(percent), PAIR)
+    near = stored(near.distinct(), "near", release=True)
+    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    first = stored(near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_verified(width, percent), PAIR), "links", release=True)
     dropped(led)
-    dropped(both_ends)
+    dropped(near)
     comp = stored(components(first), "comp")
-    edges = stored(first.union(links(in_runs(dealt, members, comp), "across")), "edges")
-    for step in (runs, members, texts, first, comp):
+
+    # then all sets of the runs that still hold several components, whatever the first step took
+    labels = nodes.select("node", "n", "sketch").join(comp, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    seen = runs.join(labels.drop("sketch"), "node")
+    split = seen.groupBy("sig", "leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    split = split.join(labels.select(F.col("node").alias("leader"), F.col("comp").alias("own")), "leader").where("low <> high or low <> own")
+    rest = stored(seen.join(split.select("sig"), "sig", "left_semi").select("sig", "leader", "node", "n"), "rest", release=True)
+    dropped(runs)
+    deals = max(8, -(-rest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // DEAL_SHINGLES))
+    # a leader's runs meet in one deal, so a pair that many of them hold comes once; only the few with very many rows are split
+    large = rest.groupBy("leader").agg(F.ceil(F.sum("n") / DEAL_SHINGLES).alias("cuts")).where("cuts > 1")  # fewer than deals
+    cut = F.pmod("sig", F.coalesce("cuts", F.lit(1)))
+    dealt = rest.join(F.broadcast(large), "leader", "left").select("sig", "leader", "node", F.pmod(F.xxhash64("leader", cut), F.lit(deals)).alias("deal"))
+    looked = dealt.groupBy("deal").cogroup(ends(dealt, "deal").join(labels, "node").groupBy("deal")).applyInArrow(_apart(width, percent, True), "deal long, node long")
+    looked = stored(looked, "looked", release=True)
+    inside = looked.join(labels, "node").join(texts, "node").groupBy("deal")
+    across = dealt.groupBy("deal").cogroup(inside).applyInArrow(_apart(width, percent, False), PAIR)
+    edges = stored(first.union(across), "edges", release=True)
+    for step in (rest, looked, texts, first, comp):
         dropped(step)
     last = components(edges)
     dropped(edges)
