@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, media, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_output, toxicity
+from . import decontamination, media, mixing, ngram_join, quality, role_repair, secret_scan, sharding, substring_dedup, term_scan, token_counts, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -61,11 +61,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels"), spared=2), spared=2, threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_benchmark_decontamination, op4_token_output, op5_source_mixing, op6_sharding, op7_quality, op8_substring_dedup, op9_audio_fingerprints, op10_toxicity)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_scan.ranking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return role_repair.with_lost(role_repair.report(role_repair.damaged(rows)), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_benchmark_decontamination, op4_token_output, op5_source_mixing, op6_sharding, op7_quality, op8_substring_dedup, op9_audio_fingerprints, op10_toxicity, op11_secret_scan, op12_lexical_search, op13_conversation_repair)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
 with recursive w as (select doc_id, coalesce({_SPLIT.format(_LOWER)}, []::varchar[]) as w from documents),
@@ -88,5 +103,18 @@ gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from firsts where
 per as (select doc_id, list(j) as js from gone group by doc_id),
 kept as (select w.doc_id, len(w.w) as n, list_filter(w.w, lambda x, j: js is null or not list_contains(js, j)) as k from w left join per using (doc_id))
 select doc_id, cast(n as bigint) as n_words, cast(n - len(k) as bigint) as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
+""",
+    "op12_lexical_search": f"""
+with t as (select doc_id, unnest(regexp_extract_all({_LOWER}, {_TERM})) as term from documents),
+n as (select doc_id, count(*) as n from t group by doc_id),
+tot as (select count(*) as docs, cast(sum(n) as bigint) as terms from n),
+tf as (select doc_id, term, count(*) as tf from t group by doc_id, term),
+df as (select term, count(*) as df from tf group by term),
+q as (select distinct item_id, unnest(regexp_extract_all({_LOWER}, {_TERM})) as term from benchmark),
+s as (select q.item_id, tf.doc_id,
+             cast(sum(cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) as bigint) as score
+      from q join tf using (term) join df using (term) join n using (doc_id), tot group by q.item_id, tf.doc_id),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 50
 """,
 }
