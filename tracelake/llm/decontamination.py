@@ -21,8 +21,11 @@ from .common import U64, flat, slices
 
 Q = 8
 BLOCK_BYTES = 4 << 20
-SHORTEST = 24  # letters and digits of an item; shorter ones are matched without edits, as whole words
+Q_SHORT = 5  # q-grams of items of fewer than LONG letters, so that these too share one for certain within 10 % of edits
+LONG = 32  # letters and digits of an item
+HITS = 1 << 21  # hits, or grams with their items, that are held at once
 LANES = 256  # alignments that advance together
+CELLS = 1 << 20  # cells of a row in all lanes together
 _LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -34,21 +37,42 @@ def letters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _FOLD[data[kept]], np.searchsorted(kept, off)
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The Q bytes from each place on, as one integer (Q is 8)."""
-    if len(data) < Q:
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q bytes from each place on (q is 8 at most), as one integer."""
+    if len(data) < q:
         return np.zeros(0, U64)
-    data = np.ascontiguousarray(data)
-    return np.ndarray((len(data) - Q + 1,), "<u8", data, strides=(1,))
+    data = np.concatenate([data, np.zeros(8 - q, np.uint8)])
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)) & U64(2 ** (8 * q) - 1)
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
     return (g * U64(0x9E3779B97F4A7C15)) >> U64(42)
 
 
+def gram_length(length: int) -> int:
+    """q for an item of so many letters: with it, an item within its edits shares a q-gram for certain."""
+    return Q if length >= LONG else min(length, Q_SHORT)
+
+
 def edits_allowed(length, percent: int):
-    """percent % of the letters, but no more than leave one shared q-gram for certain."""
-    return np.minimum(length * percent // 100, (length - Q) // Q)
+    """percent % of the letters (up to 10 %, an item's q-grams are enough for that), but no more than leave one shared q-gram for certain."""
+    q = np.where(length >= LONG, Q, np.minimum(length, Q_SHORT))
+    return np.minimum(length * percent // 100, (length - q) // np.maximum(1, q))
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of numbers: the range of each number, and the numbers."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + start[which]
+
+
+def _blocked(size: np.ndarray, most: int):
+    """Slices of consecutive rows that hold about `most` together."""
+    total, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        yield slice(i, j)
+        i = j
 
 
 def alignments(items: list[np.ndarray], data: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -105,59 +129,100 @@ def edit_distance(item: np.ndarray, region: np.ndarray, most: int, shift: int) -
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """A block of items: those of one q-gram length together."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int):
-        col = pa.array([t for _, t in items], pa.string())
-        data, off = letters(*flat(col))
-        ok = np.diff(off) >= Q
-        self.ids = [i for (i, _), x in zip(items, ok, strict=True) if x]
-        self.texts = [data[a:b] for a, b, x in zip(off[:-1], off[1:], ok, strict=True) if x]
-        g, who, at = [], [], []
-        for k, t in enumerate(self.texts):
-            h = grams(t)
-            g.append(h)
-            who.append(np.full(len(h), k))
-            at.append(np.arange(len(h)))
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        g, self.who, self.at = cat(g, U64), cat(who, np.int64), cat(at, np.int64)
-        order = np.argsort(g, kind="stable")
-        self.grams, self.who, self.at = g[order], self.who[order], self.at[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[_slot(self.grams)] = True
-        self.length = np.array([len(t) for t in self.texts], np.int64)
-        self.short = self.length < SHORTEST
-        self.edits = np.where(self.short, 0, edits_allowed(self.length, percent))
-        self.bound = np.maximum(1, self.length - Q + 1 - Q * self.edits)
+        data, off = letters(*flat(pa.array([t for _, t in items], pa.string())))
+        texts = [data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+        kinds: dict[int, list[int]] = {}
+        for k, t in enumerate(texts):
+            if len(t):
+                kinds.setdefault(gram_length(len(t)), []).append(k)
+        self.parts = [_Grams(q, [items[k][0] for k in own], [texts[k] for k in own], percent) for q, own in sorted(kinds.items())]
 
     def matches(self, col) -> list[tuple[int, int, int, int, int]]:
         """(text number, item id, edits, first and end letter) of every item found in a text, at its best place."""
         raw, raw_off = flat(col)
         data, off = letters(raw, raw_off)
-        if not len(self.texts) or len(data) < Q:
-            return []
-        h = grams(data)
+        kept = np.flatnonzero(_LETTER[raw])
+        found = [(t, part.ids[i], *v) for part in self.parts for (t, i), v in part.matches(raw, raw_off, kept, data, off).items()]
+        return sorted(found, key=lambda m: (m[0], m[1] is None, m[1] or 0, *m[2:]))
+
+
+class _Grams:
+    """The q-grams of items: for each gram the items that hold it, and for each such pair the gram's places in the item."""
+
+    def __init__(self, q: int, ids: list, texts: list[np.ndarray], percent: int):
+        self.q, self.ids, self.texts = q, ids, texts
+        self.length = np.array([len(t) for t in texts], np.int64)
+        g = np.concatenate([grams(t, q) for t in texts])
+        n = self.length - q + 1
+        who, at = _spread(np.zeros(len(n), np.int64), n)
+        order = np.lexsort((at, who, g))
+        g, who, self.at = g[order], who[order], at[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (who[1:] != who[:-1])
+        self.place = np.append(np.flatnonzero(new), len(g))  # of a (gram, item) pair: where its places begin
+        self.who = who[new]
+        self.keys, first = np.unique(g[new], return_index=True)
+        self.first = np.append(first, len(self.who))  # of a gram: where its pairs begin
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[_slot(self.keys)] = True
+        self.edits = edits_allowed(self.length, percent)
+        self.bound = np.maximum(1, n - q * self.edits)
+
+    def matches(self, raw, raw_off, kept, data, off) -> dict[tuple[int, int], tuple[int, int, int]]:
+        h = grams(data, self.q)
         place = np.flatnonzero(self.seen[_slot(h)])
-        left = np.searchsorted(self.grams, h[place], "left")
-        count = np.searchsorted(self.grams, h[place], "right") - left
-        hit = np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place = np.repeat(place, count)
+        gram = np.minimum(np.searchsorted(self.keys, h[place]), len(self.keys) - 1)
         text = np.searchsorted(off, place, "right") - 1
-        ok = place + Q <= off[text + 1]
-        place, text, hit = place[ok], text[ok], hit[ok]
-        # a text with fewer hits of an item than the bound can't hold it, wherever they lie
-        pair = text * len(self.ids) + self.who[hit]
-        _, which, n = np.unique(pair, return_inverse=True, return_counts=True)
-        ok = n[which] >= self.bound[self.who[hit]]
-        place, text, hit = place[ok], text[ok], hit[ok]
-        item, at = self.who[hit], self.at[hit]
-        diagonal = place - off[text] - at
-        short = self.short[item]
-        best = self._exact(raw, raw_off, off, text[short], item[short], diagonal[short])
-        text, item, at, diagonal = text[~short], item[~short], at[~short], diagonal[~short]
-        if not len(text):
-            return [(t, self.ids[i], *v) for (t, i), v in sorted(best.items())]
-        # overlapping bands: every hit counts in two of them
+        ok = (self.keys[gram] == h[place]) & (place + self.q <= off[text + 1])
+        place, gram, text = place[ok], gram[ok], text[ok]
+        if not len(place):
+            return {}
+        # each gram of a text once, with its places in order
+        key = text * len(self.keys) + gram
+        order = np.argsort(key, kind="stable")
+        place = place[order]
+        key, begin, times = np.unique(key[order], return_index=True, return_counts=True)
+        text, gram = key // len(self.keys), key % len(self.keys)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        holders = self.first[gram + 1] - self.first[gram]
+        whole = np.append(np.flatnonzero(np.diff(text)) + 1, len(text))  # texts stay whole
+        per = np.diff(np.concatenate([[0], np.cumsum(holders)[whole - 1]]))
+        for part in _blocked(per, HITS):
+            rows = slice(whole[part.start - 1] if part.start else 0, whole[part.stop - 1])
+            which, pair = _spread(self.first[gram[rows]], holders[rows])
+            t, item = text[rows][which], self.who[pair]
+            many = self.place[pair + 1] - self.place[pair]
+            # a text with the grams of fewer places of an item than the bound can't hold it, wherever they lie
+            both, number = np.unique(t * len(self.ids) + item, return_inverse=True)
+            good = (np.bincount(number, many) >= self.bound[both % len(self.ids)])[number]
+            t, item, pair, many, number = (x[good] for x in (t, item, pair, many, number))
+            begins, counts = begin[rows][which][good], times[rows][which][good]
+            self._exact(best, raw, raw_off, kept, off, place, t, item, pair, begins, counts)
+            loose = self.edits[item] > 0
+            order = np.flatnonzero(loose)[np.argsort(number[loose], kind="stable")]
+            t, item, pair, many, number, begins, counts = (x[order] for x in (t, item, pair, many, number, begins, counts))
+            if not len(t):
+                continue
+            ends = np.append(np.flatnonzero(np.diff(number)) + 1, len(number))
+            hits = np.diff(np.concatenate([[0], np.cumsum(many * counts)[ends - 1]]))
+            for few in _blocked(hits, HITS):
+                own = slice(ends[few.start - 1] if few.start else 0, ends[few.stop - 1])
+                if hits[few.start] > HITS:  # one text and item whose grams repeat so often that counting would not tell bands apart
+                    k, w = int(item[own][0]), max(1, int(self.edits[item[own][0]]))
+                    band = np.arange(-(int(self.length[k]) // w) - 2, (int(off[t[own][0] + 1] - off[t[own][0]])) // w + 1)
+                    self._align(best, data, off, np.full(len(band), t[own][0]), np.full(len(band), k), band)
+                    continue
+                row, k = _spread(np.zeros(own.stop - own.start, np.int64), many[own] * counts[own])
+                at = self.at[self.place[pair[own][row]] + k % many[own][row]]
+                where = place[begins[own][row] + k // many[own][row]]
+                self._align(best, data, off, *self._bands(t[own][row], item[own][row], at, where - off[t[own][row]] - at))
+        return best
+
+    def _bands(self, text, item, at, diagonal):
+        """(text, item, band) of the overlapping bands whose hits reach the bound; every hit counts in two of them."""
         band = diagonal // np.maximum(1, self.edits[item])
         key_band = np.concatenate([band, band - 1])
         span = int(np.abs(key_band).max()) + 2
@@ -170,35 +235,45 @@ class Index:
         distinct = np.unique(which[often] * most + np.tile(at, 2)[often]) // most
         number, n = np.unique(distinct, return_counts=True)
         key = key[number[n >= bound[number]]]
-        if not len(key):
-            return [(t, self.ids[i], *v) for (t, i), v in sorted(best.items())]
-        text, item, band = key // (2 * span) // len(self.ids), key // (2 * span) % len(self.ids), key % (2 * span) - span
-        edits, width = self.edits[item], np.maximum(1, self.edits[item])
-        low = off[text] + np.maximum(0, band * width - edits)
-        high = np.minimum(off[text + 1], off[text] + (band + 2) * width + self.length[item] + edits)
-        shift = off[text] + band * width + width - low
-        for i in range(0, len(key), LANES):
-            part = slice(i, i + LANES)
-            found = alignments([self.texts[k] for k in item[part]], data, low[part], high[part], 2 * edits[part], shift[part])
-            for t, k, e, o, (cost, first, past) in zip(text[part].tolist(), item[part].tolist(), edits[part].tolist(), (low[part] - off[text[part]]).tolist(), found.tolist(), strict=True):
+        return key // (2 * span) // len(self.ids), key // (2 * span) % len(self.ids), key % (2 * span) - span
+
+    def _align(self, best, data, off, text, item, band) -> None:
+        """Aligns the regions in order.  Behind a place without edits no other of its text and item can be better."""
+        done: dict[tuple[int, int], int] = {}
+        i, widest = 0, 1 + 4 * int(self.edits[item].max()) if len(item) else 1
+        lanes = max(1, min(LANES, CELLS // max(widest, int(self.length.max()))))
+        while i < len(text):
+            part = np.arange(i, min(i + lanes, len(text)))
+            i += lanes
+            if done:
+                part = part[[done.get((t, k), b) + 2 >= b for t, k, b in zip(text[part].tolist(), item[part].tolist(), band[part].tolist(), strict=True)]]
+            if not len(part):
+                continue
+            t, k, b = text[part], item[part], band[part]
+            edits, width = self.edits[k], np.maximum(1, self.edits[k])
+            low = off[t] + np.clip(b * width - edits, 0, off[t + 1] - off[t])
+            high = np.maximum(low, np.minimum(off[t + 1], off[t] + (b + 2) * width + self.length[k] + edits))
+            found = alignments([self.texts[x] for x in k], data, low, high, 2 * edits, off[t] + b * width + width - low)
+            for x, y, z, e, o, (cost, first, past) in zip(t.tolist(), k.tolist(), b.tolist(), edits.tolist(), (low - off[t]).tolist(), found.tolist(), strict=True):
                 if cost <= e:
                     now = (cost, o + first, o + past)
-                    best[t, k] = min(best.get((t, k), now), now)
-        return [(t, self.ids[i], *v) for (t, i), v in sorted(best.items())]
-
-    def _exact(self, raw, raw_off, off, text, item, diagonal) -> dict[tuple[int, int], tuple]:
-        """Whole occurrences of short items between word ends: all their q-grams on one diagonal."""
-        if not len(text):
-            return {}
-        rows, n = np.unique(np.stack([text, item, diagonal], 1), axis=0, return_counts=True)
-        rows = rows[n >= self.bound[rows[:, 1]]]
-        kept = np.flatnonzero(_LETTER[raw])
-        best: dict[tuple[int, int], tuple] = {}
-        for t, i, d in rows.tolist():
-            a, b = int(kept[off[t] + d]), int(kept[off[t] + d + self.length[i] - 1]) + 1
-            if (a == raw_off[t] or not _LETTER[raw[a - 1]]) and (b == raw_off[t + 1] or not _LETTER[raw[b]]):
-                best.setdefault((t, i), (0, d, d + int(self.length[i])))
-        return best
+                    best[x, y] = min(best.get((x, y), now), now)
+                    if not cost:
+                        done.setdefault((x, y), z)
+
+    def _exact(self, best, raw, raw_off, kept, off, place, text, item, pair, begins, counts) -> None:
+        """The first whole occurrence, between word ends, of items that are too short for edits; tried wherever their first gram stands."""
+        head = np.flatnonzero((self.edits[item] == 0) & (self.at[self.place[pair]] == 0))
+        for t, i, a, n in zip(text[head].tolist(), item[head].tolist(), begins[head].tolist(), counts[head].tolist(), strict=True):
+            size, letter = int(self.length[i]), place[a : a + n]
+            letter = letter[letter + size <= off[t + 1]]
+            first, last = kept[letter], kept[letter + size - 1]
+            left = (first == raw_off[t]) | ~_LETTER[raw[first - 1]]
+            right = (last + 1 == raw_off[t + 1]) | ~_LETTER[raw[np.minimum(last + 1, len(raw) - 1)]]
+            for p in letter[left & right].tolist():
+                if np.array_equal(_FOLD[raw[kept[p : p + size]]], self.texts[i]):
+                    best[t, i] = (0, p - int(off[t]), p - int(off[t]) + size)
+                    break
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame:
@@ -206,8 +281,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame
 
     docs needs doc_id and text, benchmark item_id and text; other columns are ignored.  Returns one row for each
     document row and item: doc_id, item_id, edits, first and past (places among the text's letters and digits).
-    Null and blank texts match nothing.  Items of fewer than SHORTEST letters and digits count only where they stand without
-    edits between word ends; those of fewer than Q say nothing of a leak and are left out.  Items with a null id are found like others.  Rows
+    Null and blank texts match nothing.  Items too short for an edit (9 letters or digits at 10 %) count where they stand
+    between word ends; items without letters or digits match nothing.  Items with a null id are found like others.  Rows
     that repeat are returned as often as they come.  Empty tables give an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
