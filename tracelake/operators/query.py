@@ -81,8 +81,8 @@ def query_episodes(episodes: DataFrame, status: str | None = None, keyword: str
 
 
 def query_segments(segments: DataFrame, kind: str | None = None, keyword: str | None = None, limit: int = 20, projects: list[str] | None = None, session: str | None = None, since=None, until=None) -> DataFrame:
-    """Filters come before the limit; the range is of started_at.  projects needs a project_id column."""
-    out = _among(segments, "started_at", projects, session, since, until)
+    """Filters come before the limit; the range is of ended_at.  projects needs a project_id column."""
+    out = _among(segments, "ended_at", projects, session, since, until)
     out = out if kind is None else out.where(F.col("segment_type") == kind)
     if keyword:
         out = out.where(holds(F.col("topic"), F.lit(keyword)) | holds(F.col("summary"), F.lit(keyword)))

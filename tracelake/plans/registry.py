@@ -402,7 +402,7 @@ def h5_segments(s, sf):
     return H.segments(ev(s, sf), gap=GAP).drop("keywords")
 
 
-@query(f"{WITH}, {SPLIT_SQL}, {SEGMENT_SQL} select segment_id, ended_at, segment_type from segs where segment_type = 'debugging' and started_at >= timestamp '2024-01-05' and contains(topic, 'item') order by ended_at desc, segment_id limit 20")
+@query(f"{WITH}, {SPLIT_SQL}, {SEGMENT_SQL} select segment_id, ended_at, segment_type from segs where segment_type = 'debugging' and ended_at >= timestamp '2024-01-05' and contains(topic, 'item') order by ended_at desc, segment_id limit 20")
 def h7_query_segments(s, sf):
     found = L.query_segments(H.segments(ev(s, sf), gap=GAP), kind="debugging", keyword="ITEM", since=F.lit("2024-01-05").cast("timestamp_ntz"), limit=20)
     return found.select("segment_id", "ended_at", "segment_type")
