@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .pairing import context
 from .query import latest
+from .recall import newest_in_range
 from .replay import file_states
-from .search import nearest
+from .search import nearest, nearest_within
 
 
 def git_of_projects(operations: DataFrame, sessions: DataFrame, kind: str | None = None, most: int = 20) -> DataFrame:
@@ -93,15 +94,41 @@ def find_episodes(queries: DataFrame, episodes: DataFrame, k: int, has_fix: bool
         low = F.lower(F.concat_ws(" ", "problem_description", "diagnosis_summary", "fix_summary"))
         some = some.where(F.contains(low, F.lit(keyword.lower())))
     near = nearest(some, queries, k, key="episode_id", during="ended_at", among=("project_id", "projects"))
-    rest = queries.join(near, "query_id", "left_anti").select("query_id", "since", "until", F.explode_outer("projects").alias("wanted"))
-    t = lambda c: F.col(c).cast("timestamp")
-    inside = (F.col("wanted").isNull() | (F.col("wanted") == F.col("project_id"))) & (F.col("since").isNull() | (t("ended_at") >= t("since"))) & (F.col("until").isNull() | (t("ended_at") <= t("until")))
-    found = some.select("episode_id", "project_id", "ended_at").join(rest, inside).select("query_id", "episode_id", "ended_at").distinct()
-    w = W.partitionBy("query_id").orderBy(F.desc("ended_at"), "episode_id")
-    newest = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    newest = newest_in_projects(some, queries.join(near, "query_id", "left_anti"), k)
     return near.select("query_id", "episode_id", "distance", "rank").unionByName(newest.select("query_id", "episode_id", F.lit(None).cast("double").alias("distance"), "rank"))
 
 
+def newest_in_projects(episodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The newest k episodes in each question's range and projects (an array; null, empty or with a null in it: all of them): (query_id, episode_id, rank).
+
+    Episodes are joined by project, and each different project and range is answered once; questions share the answers.
+    """
+    t = lambda c: F.col(c).cast("timestamp")
+    every = F.coalesce(F.size("projects") == 0, F.lit(True)) | F.coalesce(F.exists("projects", lambda p: p.isNull()), F.lit(False))
+    q = queries.select("query_id", t("since").alias("since"), t("until").alias("until"), "projects", every.alias("every"))
+    free = newest_in_range(episodes, q.where("every"), k).select("query_id", "episode_id", "rank")
+    wanted = q.where("not every").select("query_id", "since", "until", F.explode(F.array_distinct("projects")).alias("project_id"))
+    inside = (F.col("since").isNull() | (t("ended_at") >= F.col("since"))) & (F.col("until").isNull() | (t("ended_at") <= F.col("until")))
+    found = episodes.select("episode_id", "project_id", "ended_at").join(wanted.select("project_id", "since", "until").distinct(), "project_id").where(inside)
+    order = (F.desc("ended_at"), "episode_id")
+    top = found.withColumn("r", F.row_number().over(W.partitionBy("project_id", "since", "until").orderBy(*order))).where(F.col("r") <= k)
+    same = [F.col(f"q.{c}").eqNullSafe(F.col(f"top.{c}")) for c in ("project_id", "since", "until")]
+    of = wanted.alias("q").join(top.alias("top"), same[0] & same[1] & same[2]).select("query_id", "episode_id", "ended_at").distinct()
+    mine = of.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    return free.unionByName(mine.select("query_id", "episode_id", "rank"))
+
+
+def episode_events(episodes: DataFrame, events: DataFrame) -> DataFrame:
+    """The four events of each episode: its id and, for problem, diagnosis, fix and verification, that event's type, tool, time and text (null where there is none).  One join brings all four."""
+    roles = ["problem", "diagnosis", "fix", "verification"]
+    asked = episodes.select("episode_id", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_event_id").alias("event_id")) for r in roles]))).where("event_id is not null")
+    shown = events.select("event_id", F.struct("event_type", "tool_name", "ts", "content").alias("e"))
+    pick = lambda r, c: F.max(F.when(F.col("role") == r, F.col(f"e.{c}"))).alias(f"{r}_{c}")
+    cols = [pick(r, c) for r in roles for c in ("event_type", "tool_name", "ts", "content")]
+    got = asked.join(shown, "event_id").groupBy("episode_id").agg(*cols)
+    return episodes.select("episode_id").join(got, "episode_id", "left")
+
+
 def find_segments(queries: DataFrame, segments: DataFrame, k: int) -> DataFrame:
     """The nearest segments in a question's projects and range, with their rows."""
     near = nearest(segments, queries, k, key="segment_id", during="started_at", among=("project_id", "projects"))
@@ -117,15 +144,15 @@ def scoped_events(queries: DataFrame, best: DataFrame, members: DataFrame, event
     top = best.where(F.col("score") >= least).groupBy("query_id").agg(F.max_by("project_id", F.struct("score", "project_id")).alias("project_id"))
     asked = queries.join(top, "query_id", "left")
     of = members.select("project_id", "session_id")
-    scoped = nearest(events.join(of, "session_id"), asked.where("project_id is not null"), k, key="event_id", equal=["project_id"])
+    scoped = nearest_within(events.join(of, "session_id"), asked.where("project_id is not null"), k, key="event_id", group="project_id")
     free = nearest(events, asked.where("project_id is null"), k, key="event_id")
     got = scoped.select("query_id", "event_id", "distance", "rank").unionByName(free.select("query_id", "event_id", "distance", "rank"))
     return got.join(top.select("query_id", F.col("project_id").alias("scoped_to")), "query_id", "left")
 
 
 def search_in_context(queries: DataFrame, events: DataFrame, vectors: DataFrame, k: int, reach: int) -> DataFrame:
-    """Events around the nearest ones of each question's own session: (query_id, session_id, sequence, event_id, is_match).  queries: query_id, session_id, vector; vectors: event_id, session_id, vector."""
-    near = nearest(vectors, queries, k, key="event_id", equal=["session_id"])
+    """Events around the nearest ones of each question's own session: (query_id, session_id, sequence, event_id, is_match).  queries: query_id, session_id (null: any), vector; vectors: event_id, session_id, vector."""
+    near = nearest_within(vectors, queries, k, key="event_id", group="session_id").unionByName(nearest(vectors, queries.where("session_id is null"), k, key="event_id"))
     hits = near.select("query_id", "event_id").join(events.select("event_id", "session_id", "sequence"), "event_id")
     name = F.concat_ws("\x1f", "query_id", "session_id")  # windows merge inside one question and session
     mine = hits.select(name.alias("session_id"), "sequence")

@@ -89,12 +89,27 @@ def session_text(events: DataFrame, outcome: DataFrame, roots: DataFrame, projec
     return s.select("session_id", "project_id", "started_at", text.alias("text"))
 
 
-def statistics(events: DataFrame, outcome: DataFrame) -> DataFrame:
-    """(name, value) counts over the tables, each table read once."""
-    a = events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("session_id").alias("sessions"), _count("event_type = 'tool_call'").alias("tool_calls"), _count(F.col("file_operation").isin(rules.EDITS)).alias("file_edits"), _count("error_detected").alias("errors"))
-    b = outcome.agg(_count("outcome = 'fixed'").alias("fixed_sessions"), _count("outcome = 'stuck'").alias("stuck_sessions"))
-    long = lambda df: df.unpivot([], df.columns, "name", "value")
-    return long(a).unionByName(long(b))
+def statistics(events: DataFrame, outcome: DataFrame, episodes: DataFrame | None = None, segments: DataFrame | None = None, projects: DataFrame | None = None, operations: DataFrame | None = None) -> DataFrame:
+    """(name, value) counts over the tables, each table read once; those of tables not given are left out."""
+    n = F.count(F.lit(1))
+    a = events.agg(
+        n.alias("events"), F.count_distinct("session_id").alias("sessions"), _count("event_type = 'tool_call'").alias("tool_calls"), _count("event_type = 'assistant_thinking'").alias("thinking_blocks"),
+        _count((F.col("event_type") == "tool_call") & F.col("file_operation").isin(rules.EDITS)).alias("file_edits"), _count("error_detected").alias("errors"),
+    )
+    parts = [a, outcome.agg(n.alias("outcomes"), _count("outcome = 'fixed'").alias("fixed_sessions"), _count("outcome = 'stuck'").alias("stuck_sessions"))]
+    if episodes is not None:
+        parts.append(episodes.agg(n.alias("episodes"), _count("status = 'resolved'").alias("resolved_episodes")))
+    if segments is not None:
+        parts.append(segments.agg(n.alias("segments")))
+    if projects is not None:
+        parts.append(projects.agg(n.alias("projects")))
+    if operations is not None:
+        parts.append(operations.agg(n.alias("git_operations"), _count("operation = 'commit'").alias("git_commits")))
+    long = [p.unpivot([], p.columns, "name", "value") for p in parts]
+    out = long[0]
+    for p in long[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def patterns(episodes: DataFrame, least: int, top: int) -> DataFrame:
@@ -113,12 +128,22 @@ def patterns(episodes: DataFrame, least: int, top: int) -> DataFrame:
     return best.join(three, ["tag", "word"], "left")
 
 
-def recap(sessions: DataFrame, outcome: DataFrame, events: DataFrame, since) -> DataFrame:
-    """Recent sessions with outcome and the first of their first 3 messages that is no markup."""
+def recap(sessions: DataFrame, outcome: DataFrame, events: DataFrame, since, projects: DataFrame | None = None, episodes: DataFrame | None = None) -> DataFrame:
+    """Recent sessions with outcome and the first of their first 3 messages that is no markup.
+
+    projects (project_id, display_name), for sessions with project_id, and episodes (session_id, status) add the project's
+    name and how many of the session's episodes there are and are resolved.
+    """
     msg = events.where("event_type = 'user_message'").withColumn("r", F.row_number().over(in_order())).where("r <= 3 and not startswith(content, '<')")
     first = msg.groupBy("session_id").agg(F.min_by("content", "r").alias("first_message"))
     recent = sessions.where(F.col("started_at") >= since)
-    return recent.select("session_id", "started_at").join(outcome.select("session_id", "outcome"), "session_id", "left").join(first, "session_id", "left")
+    out = recent.select("session_id", "started_at", *(["project_id"] if projects is not None else [])).join(outcome.select("session_id", "outcome"), "session_id", "left").join(first, "session_id", "left")
+    if projects is not None:
+        out = out.join(projects.select("project_id", F.col("display_name").alias("project")), "project_id", "left").drop("project_id")
+    if episodes is not None:
+        n = episodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("episodes"), _count("status = 'resolved'").alias("resolved"))
+        out = out.join(n, "session_id", "left").na.fill(0, ["episodes", "resolved"])
+    return out
 
 
 def freshness(files: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
-from ..operators import episodes as G, projects as P, recall as J, replay as K, search as I, segments as H, sessions as S
+from ..operators import episodes as G, projects as P, recall as J, replay as K, scoped as C, search as I, segments as H, sessions as S
 from ..sources.tables import keyed_table
 from ..streaming import live
 from ..testmap import session_events as ev
-from .registry import EPISODE_SQL, GAP, OUTCOME_SQL, SEGMENT_SQL, SPLIT_SQL, WITH, _prints, query, table
+from .registry import EPISODE_SQL, GAP, OUTCOME_SQL, ROLL_SQL, SEGMENT_SQL, SPLIT_SQL, WITH, _prints, _roots, query, table
 
 PLAIN_STATE_SQL = """l as (select session_id, file_path, list({'id': event_id, 'o': old_content, 'n': new_content} order by sequence) as e from ev where file_operation = 'edit' group by all),
  plain as (select session_id, file_path, list_reduce(e, lambda a, x: case when instr(a.t, x.o) > 0 then {'t': substring(a.t, 1, instr(a.t, x.o) - 1) || x.n || substring(a.t, instr(a.t, x.o) + length(x.o))} else a end, {'t': e[1].o}).t as content, e[-1].id as last_event_id from l)"""
@@ -167,12 +167,45 @@ def i1_embedded_texts(s, sf):
     return I.embedder(docs, size=64)(docs).select("id", F.size("vector").alias("size"))
 
 
-@query(f"{WITH}, {EPISODE_SQL}, {PLAIN_STATE_SQL} select e.session_id, e.fix_event_id, e.episode_id, e.problem_event_id, t.file_path, t.content from eps e left join plain t on t.session_id = e.session_id and t.last_event_id = e.fix_event_id")
+FOUR_SQL = ", ".join(f"{r}.{c} as {r}_{c}" for r in ("problem", "diagnosis", "fix", "verification") for c in ("event_type", "tool_name", "ts", "content"))
+FOUR_JOIN = " ".join(f"left join ev {r} on {r}.event_id = e.{r}_event_id" for r in ("problem", "diagnosis", "fix", "verification"))
+
+
+@query(f"{WITH}, {EPISODE_SQL} select e.episode_id, {FOUR_SQL} from eps e {FOUR_JOIN}")
+def d15_events_of_episodes(s, sf):
+    e = ev(s, sf)
+    return C.episode_events(G.episodes(e), e)
+
+
+@query(f"{WITH}, {EPISODE_SQL}, {PLAIN_STATE_SQL} select e.session_id, e.fix_event_id, e.episode_id, e.problem_event_id, t.file_path, t.content, {FOUR_SQL} from eps e {FOUR_JOIN} left join plain t on t.session_id = e.session_id and t.last_event_id = e.fix_event_id")
 def l12_episode_detail(s, sf):
+    """Each episode with its four events and the file as its fix left it."""
     e = ev(s, sf)
-    g = G.episodes(e).select("episode_id", "session_id", "problem_event_id", "fix_event_id")
+    g = G.episodes(e)
     states = K.file_states(e).select("session_id", "file_path", "content", F.col("last_event_id").alias("fix_event_id"))
-    return g.join(states, ["session_id", "fix_event_id"], "left")
+    return g.select("episode_id", "session_id", "problem_event_id", "fix_event_id").join(states, ["session_id", "fix_event_id"], "left").join(C.episode_events(g, e), "episode_id")
+
+
+@query(f"""{WITH}, {OUTCOME_SQL}, {EPISODE_SQL}, {SPLIT_SQL}, {SEGMENT_SQL}, c as (select (select count(*) from ev) as events, (select count(distinct session_id) from ev) as sessions, (select count(*) from ev where event_type = 'tool_call') as tool_calls,
+ (select count(*) from ev where event_type = 'assistant_thinking') as thinking_blocks, (select count(*) from ev where file_operation = 'edit') as file_edits, (select count(*) from ev where error_detected) as errors,
+ (select count(*) from outcome) as outcomes, (select count(*) from outcome where outcome = 'fixed') as fixed_sessions, (select count(*) from outcome where outcome = 'stuck') as stuck_sessions,
+ (select count(*) from eps) as episodes, (select count(*) from eps where status = 'resolved') as resolved_episodes, (select count(*) from segs) as segments, (select count(distinct cwd) from ev) as projects)
+ unpivot c on columns(*) into name name value value""")
+def e5_statistics(s, sf):
+    """Counts of events, outcomes, episodes, segments and projects; the given events hold no git operations."""
+    e = ev(s, sf)
+    return S.statistics(e, S.outcomes(e), G.episodes(e), H.segments(e, gap=GAP), P.merged(_prints(s, sf)))
+
+
+@query(f"""{WITH}, {OUTCOME_SQL}, {ROLL_SQL}, {EPISODE_SQL}, msg as (select *, row_number() over (partition by session_id order by sequence) as r from ev where event_type = 'user_message'),
+ first as (select session_id, arg_min(content, r) as first_message from msg where r <= 3 and content not like '<%' group by session_id), n as (select session_id, count(*) as episodes, count(*) filter (where status = 'resolved') as resolved from eps group by session_id)
+ select s.session_id, s.started_at, o.outcome, f.first_message, substring(s.cwd, 6) as project, coalesce(n.episodes, 0) as episodes, cast(coalesce(n.resolved, 0) as bigint) as resolved
+ from sess s left join outcome o using (session_id) left join first f using (session_id) left join n using (session_id) where s.started_at >= timestamp '2024-01-15'""")
+def e7_recap(s, sf):
+    """Recent sessions with project, outcome, first message and their episodes."""
+    e = ev(s, sf)
+    roots = _roots(e).select("session_id", P.project_id(F.col("project_path")).alias("project_id"))
+    return S.recap(S.rollup(e).join(roots, "session_id", "left"), S.outcomes(e), e, F.lit("2024-01-15").cast("timestamp_ntz"), P.merged(_prints(s, sf)), G.episodes(e))
 
 
 @query(f"{WITH}, {OUTCOME_SQL}, {EPISODE_SQL}, n as (select session_id, count(*) as episodes from eps group by session_id) select session_id, outcome, coalesce(episodes, 0) as episodes from outcome left join n using (session_id)")

@@ -139,21 +139,6 @@ def e3_best_root(s, sf):
     return S.best_root(e, e.select("cwd", F.col("cwd").alias("root")).distinct(), "/srv/p0")
 
 
-@query(f"""{WITH}, {OUTCOME_SQL} select name, cast(value as bigint) as value from (select 'events' as name, count(*) as value from ev union all select 'sessions', count(distinct session_id) from ev union all select 'tool_calls', count(*) filter (where event_type = 'tool_call') from ev
- union all select 'file_edits', count(*) filter (where file_operation = 'edit') from ev union all select 'errors', count(*) filter (where error_detected) from ev union all select 'fixed_sessions', count(*) filter (where outcome = 'fixed') from outcome union all select 'stuck_sessions', count(*) filter (where outcome = 'stuck') from outcome)""")
-def e5_statistics(s, sf):
-    e = ev(s, sf)
-    return S.statistics(e, S.outcomes(e))
-
-
-@query(f"""{WITH}, {OUTCOME_SQL}, {ROLL_SQL}, msg as (select *, row_number() over (partition by session_id order by sequence) as r from ev where event_type = 'user_message'),
- first as (select session_id, arg_min(content, r) as first_message from msg where r <= 3 and content not like '<%' group by session_id)
- select s.session_id, s.started_at, o.outcome, f.first_message from sess s left join outcome o using (session_id) left join first f using (session_id) where s.started_at >= timestamp '2024-01-15'""")
-def e7_recap(s, sf):
-    e = ev(s, sf)
-    return S.recap(S.rollup(e), S.outcomes(e), e, F.lit("2024-01-15").cast("timestamp_ntz"))
-
-
 @query("""with files as (select distinct user_id from events), sess as (select distinct user_id from events where event_type = 'error'), g as (select count(*) as files, round(coalesce(avg(case when s.user_id is null then 0.0 else 1.0 end), 1.0), 6)::double as ratio from files f left join sess s using (user_id))
  select files, ratio, case when ratio >= 0.95 then 'green' when ratio >= 0.5 then 'yellow' else 'red' end as status from g""")
 def e8_freshness(s, sf):
