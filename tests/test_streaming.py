@@ -144,3 +144,136 @@ def test_results_find_calls_of_earlier_batches(spark):
         assert spark.table("linked").where("event_id = 'r9' and call_event_id is null").count() == 1
     finally:
         q.stop()
+
+
+def _transcript(path, n, session="s"):
+    """Entries of one file: texts, calls, results that fail, repeats of blank blocks and entries without ids."""
+    import json
+
+    out = []
+    for i in range(n):
+        base = {"uuid": f"{session}{i}", "sessionId": session, "timestamp": f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}Z", "cwd": f"/srv/{i % 3}"}
+        if i % 5 == 0:
+            entry = base | {"type": "user", "message": {"role": "user", "content": f"text {i} é"}}
+        elif i % 5 == 1:
+            use = {"type": "tool_use", "id": f"t{i}", "name": "Bash", "input": {"command": "git commit -m x"}}
+            entry = base | {"type": "assistant", "message": {"role": "assistant", "model": f"m{i % 2}", "content": [{"type": "text", "text": "do"}, use, {"type": "text", "text": " "}]}}
+        elif i % 5 == 3:
+            said = "[main 1234567] x" if i % 2 else "Traceback (most recent call last):\n  boom"
+            entry = base | {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": f"t{i - 2}", "content": said}]}}
+        else:
+            entry = {k: v for k, v in base.items() if k != "uuid"} | {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": f"said {i}"}]}}
+        out.append(json.dumps(entry, ensure_ascii=False) + "\n")
+    path.write_text("".join(out))
+    return path.read_bytes()
+
+
+def test_live_tables_equal_one_pass_after_any_cut(spark):
+    import random
+
+    from tracelake import parse
+    from tracelake.operators import pairing, sessions
+
+    d = pathlib.Path(tempfile.mkdtemp(prefix="spark-t-"))
+    (d / "in").mkdir()
+    whole = {f"{x}.jsonl": _transcript(d / f"{x}.jsonl", n, x) for x, n in (("a", 23), ("b", 12))}
+    rng = random.Random(3)
+    cuts = {name: sorted(rng.randrange(len(data)) for _ in range(1)) + [len(data)] for name, data in whole.items()}
+    at = dict.fromkeys(whole, 0)
+    for step in range(2):
+        for name, data in whole.items():
+            with (d / "in" / name).open("ab") as out:
+                out.write(data[at[name] : cuts[name][step]])
+            at[name] = cuts[name][step]
+        q = live.live_tables(live.tail(spark, str(d / "in"), batch=700), str(d / "t"), str(d / "cp"), availableNow=True)
+        q.awaitTermination()
+    lines = live.whole_lines(spark.createDataFrame([(str(d / "in" / n),) for n in whole], "path string"))
+    e = parse.events(lines).persist()
+    rows = lambda df, cols: sorted(str([r[c] for c in cols]) for r in df.collect())
+    cols = ["event_id", "sequence", "session_id", "event_type", "content", "error_detected", "error_category", "git_operation", "git_commit_hash"]
+    assert rows(tables.keyed_table(spark, str(d / "t" / "events")), cols) == rows(e, cols) and e.where("error_detected").count() and e.where("git_commit_hash is not null").count()
+    want = pairing.tool_pairs(e)
+    assert rows(live.stored_pairs(spark, str(d / "t")), want.columns) == rows(want, want.columns)
+    want = sessions.live_rollup(e)
+    assert rows(live.stored_sessions(spark, str(d / "t")), want.columns) == rows(want, want.columns)
+    log = {r.transcript_path[-7:]: r.last_offset for r in tables.keyed_table(spark, str(d / "t" / "log")).collect()}
+    assert log == {name: len(data) for name, data in whole.items()}
+    # a batch that comes again, and a whole pass, change nothing
+    before = rows(live.stored_sessions(spark, str(d / "t")), want.columns)
+    live.whole_pass_tables(lines, str(d / "t"))
+    assert rows(live.stored_sessions(spark, str(d / "t")), want.columns) == before
+    assert rows(tables.keyed_table(spark, str(d / "t" / "events")), cols) == rows(e, cols)
+
+
+def test_ranges_hold_each_line_once():
+    d = pathlib.Path(tempfile.mkdtemp(prefix="spark-t-"))
+    data = b"one\n\n" + b"x" * 300 + b"\ntwo\nlast"
+    (d / "a.jsonl").write_bytes(data)
+    for batch in (1, 2, 7, 1000):
+        r = live.RangeReader({"path": str(d), "batch": str(batch)})
+        parts = r.partitions({}, r.latestOffset())
+        assert [(x[1], x[2]) for p in parts for x in r.read(p)] == [(0, "one"), (5, "x" * 300), (306, "two")]
+    assert [x[2] for p in r.partitions({str(d / "a.jsonl"): 309}, {str(d / "a.jsonl"): 310}) for x in r.read(p)] == ["two"]
+    assert r.partitions({str(d / "a.jsonl"): 500}, r.latestOffset())[0].low == 0  # the file became smaller
+
+
+def test_still_files_are_told(spark):
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    d = pathlib.Path(tempfile.mkdtemp(prefix="spark-t-"))
+    (d / "in").mkdir()
+    _transcript(d / "in" / "a.jsonl", 6)
+    q = live.close_idle(live.tail(spark, str(d / "in")), str(d / "t"), str(d / "cp"), wait=1000)
+    try:
+        end = time.time() + 60
+        while time.time() < end and not tables.manifest(spark, str(d / "t" / "log")):
+            time.sleep(1)
+        assert live.stored_sessions(spark, str(d / "t")).first().event_count == 7
+    finally:
+        q.stop()
+
+
+def test_keyed_table_grows_by_parts(spark):
+    """Small writes add small parts; merged parts, mixed keys, repeated marks and splits give what a dict gives."""
+    import random
+
+    d, rng, model = tempfile.mkdtemp(prefix="spark-t-") + "/t", random.Random(1), set()
+    old, tables.BUCKET_BYTES = tables.BUCKET_BYTES, 600
+    try:
+        for step in range(7):
+            rows = [(rng.choice([None, *range(60)]), rng.randrange(4), step * 100 + i) for i in range(300 if step == 0 else 9)]
+            key = ["a"] if step == 3 else ["a", "b"]
+            gone = {r[: len(key)] for r in rows}
+            model = {r for r in model if r[: len(key)] not in gone} | set(rows)
+            for again in (rows, [(1, 1, -1)]):
+                tables.keyed_overwrite(spark, d, spark.createDataFrame(again, "a int, b int, c int"), key, ["a"], ("w", step))
+            assert set(map(tuple, tables.keyed_table(spark, d).collect())) == model
+            near = tables.keyed_table(spark, d, spark.createDataFrame([(3,)], "a int"))
+            assert {tuple(r) for r in near.where("a = 3").collect()} == {r for r in model if r[0] == 3}
+        parts = tables.manifest(spark, d)
+        assert parts["buckets"] > tables.BUCKETS and len(parts["parts"]) <= 4
+        tables.compact(spark, d, whole=True)
+        assert set(map(tuple, tables.keyed_table(spark, d).collect())) == model and len(tables.manifest(spark, d)["parts"]) == 1
+    finally:
+        tables.BUCKET_BYTES = old
+
+
+def test_old_calls_leave_the_state(spark):
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    d = tempfile.mkdtemp(prefix="spark-t-")
+    schema = "session_id string, event_id string, ts timestamp, event_type string, tool_use_id string, tool_name string"
+    put = lambda *row: spark.createDataFrame([row], schema.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    put("s", "c1", "2024-01-01 00:00:00", "tool_call", "t1", "Bash")
+    q = live.linked(spark.readStream.schema(schema).parquet(f"{d}/in"), keep=1).writeStream.format("memory").queryName("kept").start()
+    try:
+        time.sleep(8)
+        put("s", "r1", "2024-01-01 00:00:01", "tool_result", "t1", None)
+        end = time.time() + 40
+        while time.time() < end and not spark.table("kept").count():
+            time.sleep(0.5)
+        assert [tuple(r) for r in spark.table("kept").collect()] == [("s", "r1", None, None)]
+    finally:
+        q.stop()

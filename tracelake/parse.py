@@ -34,10 +34,12 @@ def summary(tool: Column, given: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def events(lines: DataFrame) -> DataFrame:
+def events(lines: DataFrame, after: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
     """Events of (path, line_no, raw) lines.
 
-    One exchange by file serves numbering, ids and the link from results to the calls before them.
+    One exchange by file serves numbering, ids and the link from results to the calls before them.  Where the lines go on from
+    earlier ones of their files, after (path, events) tells how many events those gave, and calls (path, tool_use_id, tool_name, command) which
+    calls were among them; both have one row a key.
     """
     v = F.try_parse_json("raw")
     e = lines.select("path", "line_no", "raw", v.alias("v")).where("v is not null")
@@ -82,6 +84,8 @@ def events(lines: DataFrame) -> DataFrame:
     )
     w = W.partitionBy("path").orderBy("line_no", "offset")
     b = b.withColumn("rn", F.row_number().over(w) - 1)
+    if after is not None:
+        b = b.join(after.select("path", F.col("events").alias("_before")), "path", "left").withColumn("rn", F.col("rn") + F.coalesce("_before", F.lit(0))).drop("_before")
     b = b.withColumn("base", F.min("rn").over(W.partitionBy("path", "line_no")))
     b = b.withColumn("sequence", (F.col("base") + F.col("offset")).cast("long"))
     prefix = F.when(is_user, "user-").when(is_bot, "asst-").when(F.col("kind") == "system", "sys-").otherwise("unk-")
@@ -93,6 +97,9 @@ def events(lines: DataFrame) -> DataFrame:
     # results learn the tool and command of the last call before them
     known = W.partitionBy("path", "tool_use_id").orderBy("line_no", "offset").rowsBetween(W.unboundedPreceding, 0)
     b = b.withColumn("_call", F.when(F.col("event_type") == "tool_result", F.last(F.when(F.col("event_type") == "tool_call", F.struct("tool_name", "command")), True).over(known)))
+    if calls is not None:
+        earlier = calls.select("path", "tool_use_id", F.struct("tool_name", "command").alias("_earlier"))
+        b = b.join(earlier, ["path", "tool_use_id"], "left").withColumn("_call", F.when(F.col("event_type") == "tool_result", F.coalesce("_call", "_earlier"))).drop("_earlier")
     result = F.col("event_type") == "tool_result"
     for name, column in gated_error(F.when(result, F.col("content")), F.col("_call.tool_name"), F.col("tool_success")).items():
         b = b.withColumn(name, column)
