@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
-from ..operators import episodes as G, projects as P, recall as J, replay as K, scoped as C, search as I, segments as H, sessions as S
+from ..operators import episodes as G, projects as P, query as L, recall as J, replay as K, scoped as C, search as I, segments as H, sessions as S
+from ..sources import store
 from ..sources.tables import keyed_table
 from ..streaming import live
 from ..testmap import session_events as ev
@@ -216,13 +217,65 @@ def n2_reanalysed(s, sf):
     return S.outcomes(e).select("session_id", "outcome").join(n, "session_id", "left").na.fill(0)
 
 
-def _folder(spark) -> str:
+# the number in a stored table's name stands for its derivation: raise it when that changes
+_bases: dict[str, str] = {}
+
+
+def _base(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-streams-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+        base = _bases.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-streams-", dir="/tmp")
+        _bases[spark.sparkContext.applicationId] = base
+    return base.rstrip("/")
+
+
+def _folder(spark) -> str:
+    return f"{_base(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _sessions(s, sf):
+    """Sessions with their outcome, newest first on disk."""
+    make = lambda: S.rollup(ev(s, sf)).join(S.outcomes(ev(s, sf)), "session_id", "left").withColumn("age", -F.unix_micros(F.col("started_at").cast("timestamp")))
+    return store.kept(s, _base(s), "sessions-1", [f"{sf}/events.parquet"], make, ["age", "session_id"])
+
+
+def _outcomes(s, sf):
+    return store.kept(s, _base(s), "outcomes-1", [f"{sf}/events.parquet"], lambda: S.outcomes(ev(s, sf)), ["session_id"])
+
+
+def _events(s, sf):
+    return store.kept(s, _base(s), "events-1", [f"{sf}/events.parquet"], lambda: ev(s, sf), ["session_id", "sequence", "event_id"])
+
+
+@query(f"{WITH} select 'events' as name, count(*) as n from ev union all select 'sessions', count(distinct session_id) from ev union all select 'outcomes', count(distinct session_id) from ev")
+def l0_stored_tables(s, sf):
+    """Derives and stores the sorted tables that the look-ups read, where they are not stored yet, and counts them."""
+    of = lambda name, df: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    return of("events", _events(s, sf)).unionByName(of("sessions", _sessions(s, sf))).unionByName(of("outcomes", _outcomes(s, sf)))
+
+
+@query(f"{WITH}, {OUTCOME_SQL}, {ROLL_SQL} select s.session_id, s.started_at, o.outcome from sess s join outcome o using (session_id) where o.outcome = 'fixed' order by s.started_at desc, s.session_id limit 50")
+def l1_fixed_sessions(s, sf):
+    got = _sessions(s, sf)
+    return L.list_sessions(got.where("outcome = 'fixed'")).select("session_id", "started_at", "outcome")
+
+
+@query(f"{WITH}, {OUTCOME_SQL}, {ROLL_SQL} select e.event_id, o.outcome, o.confidence from ev e join outcome o using (session_id) where e.error_detected")
+def l3_point_lookups(s, sf):
+    return _events(s, sf).where("error_detected").select("event_id", "session_id").join(_outcomes(s, sf), "session_id").select("event_id", "outcome", "confidence")
+
+
+@query(f"{WITH} select event_id, session_id, sequence, content from ev where session_id in ('3-1', '17-4', '40-0', '100-2')")
+def l3_session_events(s, sf):
+    """The events of four sessions, from the row groups that hold them."""
+    return store.point(_events(s, sf), "session_id", ["3-1", "17-4", "40-0", "100-2"]).select("event_id", "session_id", "sequence", "content")
+
+
+@query(f"{WITH} select event_id, sequence from ev where sequence between 2 and 5")
+def l4_sequence_range(s, sf):
+    return L.sequence_range(_events(s, sf), 2, 5).select("event_id", "sequence")
 
 
 def _streamed(s, sf):

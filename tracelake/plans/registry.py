@@ -522,28 +522,11 @@ def k9_plan_writes(s, sf):
 # ---------------------------------------------------------------- look-ups
 
 
-@query(f"{WITH}, {OUTCOME_SQL}, {ROLL_SQL} select s.session_id, s.started_at, o.outcome from sess s join outcome o using (session_id) where o.outcome = 'fixed' order by s.started_at desc, s.session_id limit 50")
-def l1_fixed_sessions(s, sf):
-    e = ev(s, sf)
-    return L.list_sessions(S.rollup(e), S.outcomes(e), kind="fixed").select("session_id", "started_at", "outcome")
-
-
 @query(f"{WITH} select event_id, sequence, content from ev where event_type = 'tool_call' and tool_name = 'Edit' order by ts, sequence, event_id limit 200 offset 20")
 def l2_get_events(s, sf):
     return L.get_events(ev(s, sf), event_type="tool_call", tool_name="Edit", limit=200, offset=20).select("event_id", "sequence", "content")
 
 
-@query(f"{WITH}, {OUTCOME_SQL} select e.event_id, o.outcome, o.confidence from ev e join outcome o using (session_id) where e.error_detected")
-def l3_point_lookups(s, sf):
-    e = ev(s, sf)
-    return e.where("error_detected").select("event_id", "session_id").join(S.outcomes(e), "session_id").select("event_id", "outcome", "confidence")
-
-
-@query(f"{WITH} select event_id, sequence from ev where sequence between 2 and 5")
-def l4_sequence_range(s, sf):
-    return L.sequence_range(ev(s, sf), 2, 5).select("event_id", "sequence")
-
-
 @query(f"{WITH}, r as (select *, row_number() over (partition by session_id order by sequence desc, event_id) as r from ev) select session_id, event_id, sequence from r where r <= 5")
 def l5_latest_events(s, sf):
     return L.latest(ev(s, sf), 5).select("session_id", "event_id", "sequence")
