@@ -6,9 +6,9 @@ from pyspark.sql import Window as W, functions as F
 
 from .. import parse, rules
 from ..functions import extract as X
-from ..operators import episodes as G, projects as P, scoped as C, sessions as S
+from ..operators import episodes as G, projects as P, scoped as C, segments as H, sessions as S, status as ST
 from ..testmap import session_events as ev
-from .registry import DIST_SQL, EPISODE_SQL, OUTCOME_SQL, WITH, _prints, listed_sql, query, table
+from .registry import DIST_SQL, EPISODE_SQL, GAP, OUTCOME_SQL, ROLL_SQL, SEGMENT_SQL, SPLIT_SQL, WITH, _prints, _roots, listed_sql, query, table
 
 OPS_SQL = "ops as (select event_id, session_id, ts, case k % 3 when 0 then 'commit' when 1 then 'push' else 'status' end as operation, case when k % 2 = 0 then 'h' || k else '' end as commit_hash from ev where event_type = 'tool_result')"
 OWNER_SQL = "owners as (select distinct session_id, case when user_id % 5 > 0 then 'p' || (user_id % 7) end as project_id from ev)"
@@ -283,3 +283,30 @@ def c17_extensions_of_files(s, sf):
     end = F.element_at(F.array(*map(F.lit, ("py", "TSX", "md", "c"))), (F.col("event_id") % 4 + 1).cast("int"))
     g = table(s, sf, "events").groupBy("user_id").agg(F.collect_set(F.concat(F.lit("a.b/f"), "event_id", F.lit("."), end)).alias("p"))
     return g.select("user_id", F.array_join(X.extensions(F.col("p")), " ").alias("extensions"))
+
+
+@query(f"""{WITH}, {OUTCOME_SQL}, {ROLL_SQL}, {EPISODE_SQL}, {SPLIT_SQL}, {SEGMENT_SQL}, {OPS_SQL}, own as (select session_id, substring(cwd, 6) as name, started_at from sess),
+ rs as (select own.*, o.outcome, row_number() over (partition by name order by started_at desc, session_id) as r from own left join outcome o using (session_id)),
+ ss as (select name, string_agg(session_id || ' ' || outcome, '; ' order by r) filter (where r <= 5) as sessions, max(outcome) filter (where r = 1) as last_outcome from rs group by name),
+ re as (select name, e.episode_id, e.status, 'h' || p.k as hash, row_number() over (partition by name order by e.ended_at desc, e.episode_id) as r from eps e join own using (session_id) join ev p on p.event_id = e.problem_event_id),
+ ten as (select * from re where r <= 10), ue as (select name, episode_id, row_number() over (partition by name order by r) as u from ten where status <> 'resolved'),
+ es as (select name, string_agg(episode_id, ' ' order by r) filter (where r <= 5) as recent from ten group by name), us as (select name, string_agg(episode_id, ' ' order by u) filter (where u <= 5) as unresolved from ue group by name),
+ lk as (select name, hash, arg_max(episode_id, r) as linked from ten group by all),
+ ro as (select own.name, o.*, ev.k, row_number() over (partition by own.name order by o.ts desc, o.event_id) as r from ops o join own using (session_id) join ev using (event_id) where o.operation <> 'commit' or o.commit_hash <> ''),
+ cs as (select ro.name, string_agg(event_id || ':' || coalesce(linked, ''), ' ' order by r) as commits, max('b' || k % 3) filter (where r = 1) as branch from ro left join lk on lk.name = ro.name and lk.hash = ro.commit_hash where r <= 20 group by ro.name),
+ rg as (select name, segment_type || ' ' || topic as t, row_number() over (partition by name order by s.ended_at desc, segment_id) as r from segs s join own using (session_id)), gs as (select name, string_agg(t, '; ' order by r) as segments from rg where r <= 5 group by name)
+ select ss.name as display_name, branch, last_outcome, commits, sessions, coalesce(recent, '') as recent, coalesce(unresolved, '') as unresolved, coalesce(segments, '') as segments from ss left join es using (name) left join us using (name) left join cs using (name) left join gs using (name)""")
+def j10_project_status(s, sf):
+    """Every project's status; an episode's commit stands for its problem's number, as the given events hold no commits."""
+    e = ev(s, sf)
+    roots = _roots(e).select("session_id", P.project_id(F.col("project_path")).alias("project_id")).persist()
+    of = lambda df: df.join(roots, "session_id")
+    eps = G.episodes(e).drop("fix_commit_hash").join(e.select(F.col("event_id").alias("problem_event_id"), F.concat(F.lit("h"), "k").alias("fix_commit_hash")), "problem_event_id")
+    ops = _ops(e).join(e.select("event_id", F.concat(F.lit("b"), F.col("k") % 3).alias("branch"), F.col("content").alias("message")), "event_id")
+    none = e.limit(0).select(F.lit("").alias("project_id"), F.lit(0).alias("stale_files"))
+    got = ST.project_status(P.merged(_prints(s, sf)), of(S.rollup(e)), S.outcomes(e), of(eps), of(H.segments(e, gap=GAP)), ops, none, F.lit("2024-02-10").cast("timestamp"))
+    text = lambda name, one, sep: F.coalesce(F.array_join(F.transform(name, one), sep), F.lit("")).alias(name)
+    return got.select(
+        "display_name", "branch", "last_outcome", text("commits", lambda x: F.concat(x["event_id"], F.lit(":"), F.coalesce(x["linked_episode_id"], F.lit(""))), " "),
+        text("sessions", lambda x: F.concat(x["session_id"], F.lit(" "), x["outcome"]), "; "), text("recent", lambda x: x["episode_id"], " "), text("unresolved", lambda x: x["episode_id"], " "), text("segments", lambda x: F.concat(x["segment_type"], F.lit(" "), x["topic"]), "; "),
+    )

@@ -439,13 +439,6 @@ def j1_recall(s, sf):
     return J.recalled(q, projects, sessions, eps, topics, said)
 
 
-@query()
-def j10_project_status(s, sf):
-    e = ev(s, sf)
-    roots = _roots(e).select("session_id", P.project_id(F.col("project_path")).alias("project_id"))
-    return J.project_status(P.merged(_prints(s, sf)), S.rollup(e).join(roots, "session_id"), S.outcomes(e), G.episodes(e).join(roots, "session_id"))
-
-
 @query("""with late as (select distinct user_id, user_id % 7 as p from events where event_type = 'view' except select distinct user_id, user_id % 7 from events where event_type = 'signup')
  select p as project_id, count(*) as stale_files from late group by p""")
 def j11_drift(s, sf):
