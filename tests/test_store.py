@@ -52,3 +52,26 @@ def test_newest_in_projects(spark):
     q = spark.createDataFrame([(1, None, None, ["p0", "p1", "p0"]), (2, "2024-01-03", "2024-01-05", ["p2"]), (3, None, "2024-01-02", None), (4, None, None, []), (5, None, None, ["p9"])], "query_id int, since string, until string, projects array<string>")
     got = sorted((r.query_id, r["rank"], r.episode_id) for r in C.newest_in_projects(e, q, 2).collect())
     assert got == [(1, 1, "e10"), (1, 2, "e9"), (2, 1, "e2"), (3, 1, "e1"), (3, 2, "e0"), (4, 1, "e11"), (4, 2, "e10")]
+
+
+def test_one_changed_session_is_made_again(spark):
+    from pyspark.sql import functions as F
+
+    from tracelake.operators import reanalyse as R
+
+    d = tempfile.mkdtemp(prefix="spark-t-")
+    e = spark.createDataFrame([(f"s{i % 4}", i, f"v{i}") for i in range(20)], "session_id string, sequence int, v string")
+    asked = []
+
+    def odd(some):
+        asked.append({r.session_id for r in some.select("session_id").distinct().collect()})
+        return some.where("v like '%1'").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+    run = lambda df: {r.session_id for r in R.reanalysed(df, d, {"odd": odd}).collect()}
+    rows = lambda: {(r.session_id, r.n) for r in R.analysed(spark, d, "odd").collect()}
+    assert run(e) == {"s0", "s1", "s2", "s3"} and rows() == {("s1", 1), ("s3", 1)}
+    assert run(e) == set() and len(asked) == 1
+    more = e.where("v <> 'v11'").union(spark.createDataFrame([("s1", 40, "x1")], e.schema))
+    assert run(more) == {"s1", "s3"} and asked[-1] == {"s1", "s3"}
+    assert rows() == {("s1", 2)}  # s3 has no row any more
+    assert run(more.where("session_id = 's0'")) == set() and rows() == {("s1", 2)}  # files that are gone keep theirs

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
-from ..operators import episodes as G, projects as P, query as L, recall as J, replay as K, scoped as C, search as I, segments as H, sessions as S
+from ..operators import episodes as G, projects as P, query as L, reanalyse as R, recall as J, replay as K, scoped as C, search as I, segments as H, sessions as S
 from ..sources import store
 from ..sources.tables import keyed_table
 from ..streaming import live
@@ -211,10 +211,13 @@ def e7_recap(s, sf):
 
 @query(f"{WITH}, {OUTCOME_SQL}, {EPISODE_SQL}, n as (select session_id, count(*) as episodes from eps group by session_id) select session_id, outcome, coalesce(episodes, 0) as episodes from outcome left join n using (session_id)")
 def n2_reanalysed(s, sf):
-    """Derived tables again from events alone: sessions by outcome and their number of episodes."""
-    e = ev(s, sf)
-    n = G.episodes(e).groupBy("session_id").agg(F.count(F.lit(1)).alias("episodes"))
-    return S.outcomes(e).select("session_id", "outcome").join(n, "session_id", "left").na.fill(0)
+    """Derived tables as of the middle of the month, brought up to date for the sessions that changed since: sessions by outcome and their number of episodes."""
+    e, folder = ev(s, sf), _folder(s)
+    derived = {"outcomes": S.outcomes, "episodes": G.episodes}
+    R.reanalysed(e.where("ts < timestamp_ntz '2024-01-15'"), folder, derived)
+    R.reanalysed(e, folder, derived)
+    n = R.analysed(s, folder, "episodes").groupBy("session_id").agg(F.count(F.lit(1)).alias("episodes"))
+    return R.analysed(s, folder, "outcomes").select("session_id", "outcome").join(n, "session_id", "left").na.fill(0)
 
 
 # the number in a stored table's name stands for its derivation: raise it when that changes
