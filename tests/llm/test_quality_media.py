@@ -161,3 +161,24 @@ def test_recordings_with_shared_passages(spark):
         assert {x.id: x.group_id for x in media.recording_groups(df).collect()} == label
     finally:
         media.SPLIT = kept
+
+
+def test_every_link_of_recordings(spark):
+    """Each pair of a crowd of near copies counts, not only those that join groups; every pair by brute force."""
+    base = words(120, 50)
+    texts = {i: [*words(4 + i, 60 + i), *base[3 * i :], *words(5, 80 + i)] for i in range(7)} | {9: words(100, 99)}
+    prints = {i: media.integers(media.melody(t)) for i, t in texts.items()}
+    links = dict.fromkeys(texts, 0)
+    for i in prints:
+        for j in prints:
+            a, b = prints[i], prints[j]
+            ka, kb = ([(x[p], x[p + 1]) for p in range(len(x) - 1)] for x in (a, b))
+            for o in range(-len(kb), len(ka)):
+                n, e = media.bit_errors(a, b, o)
+                if i != j and n >= media.OVERLAP and e <= media.ERRORS and sum(ka[p] == kb[p - o] for p in range(max(0, o), min(len(ka), len(kb) + o))) >= media.VOTES:
+                    links[i] += 1
+                    break
+    assert sum(links.values()) > 2 * len(texts) and links[9] == 0
+    df = spark.createDataFrame([*((i, media.melody(t)) for i, t in texts.items()), (20, media.melody(texts[0]))], "id long, audio binary")
+    got = {x.id: x.n_links for x in media.recording_groups(df).collect()}
+    assert got == links | {20: links[0]}
