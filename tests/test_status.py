@@ -1,5 +1,8 @@
 """Relative dates and the text of a project's status."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import status
@@ -33,3 +36,15 @@ def test_status(spark):
         "### Recent commits (1)\n- `abc12345` no message (2 days ago)\n  linked: mended it", "### Known issues (1)\n- it breaks (yesterday)", "### Recent work (1)\n- [design] a plan (yesterday)",
     ]
     assert q.narrative == "## bare\n``\n\n### Known issues\nNone tracked.\n\n_No history found for this project._" and q.commits is None
+
+
+def test_status_derives_events_once(spark):
+    """The joined parts read the stored events, not the table each for itself."""
+    from tracelake.plans import further
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the given tables are not here")
+    files = further.j10_project_status(spark, sf).inputFiles()
+    assert files and not [f for f in files if f.endswith("/events.parquet")]
+

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from .. import parse, rules
 from ..functions import extract as X
 from ..operators import episodes as G, projects as P, scoped as C, segments as H, sessions as S, status as ST
+from ..sources.store import stored
 from ..testmap import session_events as ev
 from .registry import DIST_SQL, EPISODE_SQL, GAP, OUTCOME_SQL, ROLL_SQL, SEGMENT_SQL, SPLIT_SQL, WITH, _prints, _roots, listed_sql, query, table
 
@@ -298,13 +299,13 @@ def c17_extensions_of_files(s, sf):
  select ss.name as display_name, branch, last_outcome, commits, sessions, coalesce(recent, '') as recent, coalesce(unresolved, '') as unresolved, coalesce(segments, '') as segments from ss left join es using (name) left join us using (name) left join cs using (name) left join gs using (name)""")
 def j10_project_status(s, sf):
     """Every project's status; an episode's commit stands for its problem's number, as the given events hold no commits."""
-    e = ev(s, sf)
-    roots = _roots(e).select("session_id", P.project_id(F.col("project_path")).alias("project_id")).persist()
+    e = stored(ev(s, sf), "events")
+    roots = stored(_roots(e).select("session_id", P.project_id(F.col("project_path")).alias("project_id")), "roots")
     of = lambda df: df.join(roots, "session_id")
-    eps = G.episodes(e).drop("fix_commit_hash").join(e.select(F.col("event_id").alias("problem_event_id"), F.concat(F.lit("h"), "k").alias("fix_commit_hash")), "problem_event_id")
+    eps = stored(G.episodes(e), "episodes").drop("fix_commit_hash").join(e.select(F.col("event_id").alias("problem_event_id"), F.concat(F.lit("h"), "k").alias("fix_commit_hash")), "problem_event_id")
     ops = _ops(e).join(e.select("event_id", F.concat(F.lit("b"), F.col("k") % 3).alias("branch"), F.col("content").alias("message")), "event_id")
     none = e.limit(0).select(F.lit("").alias("project_id"), F.lit(0).alias("stale_files"))
-    got = ST.project_status(P.merged(_prints(s, sf)), of(S.rollup(e)), S.outcomes(e), of(eps), of(H.segments(e, gap=GAP)), ops, none, F.lit("2024-02-10").cast("timestamp"))
+    got = ST.project_status(P.merged(_prints(s, sf, e)), of(S.rollup(e)), S.outcomes(e), of(eps), of(H.segments(e, gap=GAP)), ops, none, F.lit("2024-02-10").cast("timestamp"))
     text = lambda name, one, sep: F.coalesce(F.array_join(F.transform(name, one), sep), F.lit("")).alias(name)
     return got.select(
         "display_name", "branch", "last_outcome", text("commits", lambda x: F.concat(x["event_id"], F.lit(":"), F.coalesce(x["linked_episode_id"], F.lit(""))), " "),
