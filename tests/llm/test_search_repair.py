@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -168,3 +169,13 @@ def test_repaired_rows(spark):
     rows = [(1, 0, "user", "Hi."), (1, 1, "user", "Again."), (1, 2, "assistant", "Yes."), (2, 0, "user", " ")]
     got = rr.repaired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "place").collect()
     assert [(r.conv_id, r.action, r.role, r.text) for r in got] == [(1, "K", "user", "Hi."), (1, "I", "assistant", ""), (1, "K", "user", "Again."), (1, "K", "assistant", "Yes."), (2, "D", "user", " ")]
+
+
+def test_long_conversation_costs_no_more_a_row():
+    rng = random.Random(2)
+    text = "".join(rng.choice("uaUAsSx") for _ in range(400))
+    start = time.process_time()
+    cost, audit = rr.repair(text)
+    assert time.process_time() - start < 5
+    code = {"s": ("s", 0), "u": ("u", 0), "a": ("a", 0), "S": ("s", 1), "U": ("u", 1), "A": ("a", 1), "x": ("u", 0)}
+    assert (cost, audit) == cheapest([(*code[c], c == "x") for c in text])

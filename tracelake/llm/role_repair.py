@@ -3,7 +3,8 @@
 The grammar over role initials is `conversation -> nothing | turns | s turns; turns -> pair | turns pair; pair -> u a`.
 Its LR(0) tables are built once from these rules.  Each row is kept, given another role or deleted, and roles may be
 inserted anywhere.  Every edit is tried at every stack top; the stacks share their lower part, and equal
-tops are merged by the least (cost, audit).  The merge is exact: what may follow depends on the top alone (the states
+tops are merged by the least (cost, audit).  What a row does to a top is parsed once for each symbol and top; rows then
+step through these moves, so a long conversation costs no more a row than a short one.  The merge is exact: what may follow depends on the top alone (the states
 after `u` go on alike whatever is below), and of two audits that have consumed the same rows at the same cost neither is the
 beginning of the other, so the smaller stays the smaller whatever comes after.
 
@@ -126,30 +127,68 @@ def _entry(state: int) -> Top:
     raise ValueError(state)
 
 
+def _read(c: str, entry: int) -> dict[int, tuple[int, str]]:
+    """The least (cost, audit) for each top that may be there after one row, begun at a top: insertions, then what is done with the row."""
+    role, extra, after = (OTHER if c in "?!" else c.lower()), TRUNCATED * (c in "SUA!"), {}
+    tops = _settled({entry: _entry(entry)}, True)
+    for state in ALIVE:
+        if (top := tops.get(state)) is None:
+            continue
+        cost, audit = top.best
+        _put(after, state, (cost + DELETE, audit + "D"), top.below)
+        if c == GONE:
+            continue
+        if (state, role) in GOTO:
+            _put(after, GOTO[state, role], (cost + extra, audit + "K"), [top])
+        for r in ROLES:
+            if r != role and (state, r) in GOTO:
+                _put(after, GOTO[state, r], (cost + REROLE + extra, audit + "R"), [top])
+    return {s: t.best for s, t in _settled(after, False).items() if s in ALIVE}
+
+
+@functools.cache
+def _moves(c: str) -> dict[int, list[tuple[int, int, str]]]:
+    """For each top, the tops that one row leads to: (top, cost, audit)."""
+    return {entry: [(to, cost, audit) for to, (cost, audit) in _read(c, entry).items()] for entry in ALIVE}
+
+
+@functools.lru_cache(1 << 14)
+def _step(tops: tuple, c: str) -> tuple[tuple, int, tuple]:
+    """(tops after a row, cost of the cheapest of them, for each the place of the one before and the row's part of the audit).
+
+    A top is (state, cost above the cheapest, rank of its audit).  Parts end with what is done with a row, so no audit is the beginning
+    of another one that has consumed the same rows, and the rank decides before the part.
+    """
+    best: dict[int, tuple] = {}
+    for place, (state, cost, rank) in enumerate(tops):
+        for to, more, part in _moves(c)[state]:
+            key = (cost + more, rank, part, place)
+            if to not in best or key < best[to]:
+                best[to] = key
+    least = min(k[0] for k in best.values())
+    ranks = {k: i for i, k in enumerate(sorted({k[1:3] for k in best.values()}))}
+    told = sorted(best.items())
+    return tuple((s, k[0] - least, ranks[k[1:3]]) for s, k in told), least, tuple((k[3], k[2]) for _, k in told)
+
+
 def parsed(symbols: str, entry: int = 0) -> dict[int, tuple[int, str]]:
     """The least (cost, audit) for each top that may be there after these rows, begun at a top.
 
     A symbol is a role's initial, its capital where the row is truncated (? and ! for a role that the grammar lacks), or x for a
-    row that has to go.
+    row that has to go.  Each row is one step from a few tops to a few tops, so the time grows with the rows.
     """
-    tops = {entry: _entry(entry)}
+    tops, spent, steps, out = ((entry, 0, 0),), 0, [], {}
     for c in symbols:
-        _settled(tops, True)
-        role, extra, after = (OTHER if c in "?!" else c.lower()), TRUNCATED * (c in "SUA!"), {}
-        for state in ALIVE:
-            if (top := tops.get(state)) is None:
-                continue
-            cost, audit = top.best
-            _put(after, state, (cost + DELETE, audit + "D"), top.below)
-            if c == GONE:
-                continue
-            if (state, role) in GOTO:
-                _put(after, GOTO[state, role], (cost + extra, audit + "K"), [top])
-            for r in ROLES:
-                if r != role and (state, r) in GOTO:
-                    _put(after, GOTO[state, r], (cost + REROLE + extra, audit + "R"), [top])
-        tops = _settled(after, False)
-    return {s: t.best for s, t in tops.items() if s in ALIVE}
+        tops, least, back = _step(tops, c)
+        spent += least
+        steps.append(back)
+    for place, (state, cost, _) in enumerate(tops):
+        parts = []
+        for back in reversed(steps):
+            place, part = back[place]  # noqa: PLW2901
+            parts.append(part)
+        out[state] = (spent + cost, "".join(reversed(parts)))
+    return out
 
 
 @functools.cache
@@ -162,14 +201,9 @@ def _ended(tops: dict[int, tuple[int, str]]) -> tuple[int, str]:
     return min((cost + ending(s)[0], audit + ending(s)[1]) for s, (cost, audit) in tops.items())
 
 
-@functools.lru_cache(1 << 16)
-def _short(symbols: str) -> tuple[int, str]:
-    return _ended(parsed(symbols))
-
-
 def repair(symbols: str) -> tuple[int, str]:
     """The cost and the audit (initials of keep, rerole, delete, insert) of the cheapest repair, ties by the least audit."""
-    return _short(symbols) if len(symbols) <= 32 else _ended(parsed(symbols))
+    return _ended(parsed(symbols))
 
 
 # ---------------------------------------------------------------- rows
