@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -90,6 +91,22 @@ def test_coder():
         coder.decode(bytes(damaged))
 
 
+def test_coder_time_and_size():
+    r = np.random.default_rng(3)
+    ids = (r.zipf(1.3, 500_000) % 50257).astype(np.uint32)
+    start = time.process_time()
+    packed = coder.encode(ids)
+    assert (coder.decode(packed) == ids).all()
+    assert time.process_time() - start < 3 and len(packed) < 2 * len(ids)
+    for n in (1, 1023, 1025, coder.SHORT * coder.LANES + 1):  # one block, a short last one, blocks that grow
+        assert (coder.decode(coder.encode(ids[:n])) == ids[:n]).all() and (coder.decode(coder.encode(np.repeat(ids, 3)[:n])) == np.repeat(ids, 3)[:n]).all()
+    for at in (len(packed) // 3, len(packed) // 2):
+        damaged = bytearray(packed)
+        damaged[at] ^= 4
+        with pytest.raises(ValueError):
+            coder.decode(bytes(damaged))
+
+
 def without(rows, length=20):
     split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
     first = {}
