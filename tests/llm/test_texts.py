@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tracelake.llm import coder, mixing, sharding, substring_dedup, token_counts, token_output
+from tracelake.llm import coder, mixing, pieces, sharding, substring_dedup, token_counts, token_output
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", None, " ", "\n\n", "a  b", " lead", "tail ", "x\n y", "Don't we'll  \t stop\r\n", "naïve Ünïcode — “quotes” 日本語 🙂   nbsp", "<|endoftext|>", "a<|endoftext|> b <|endoftext|>", "1234567 8", "word " * 3000, "x" * 5000]
@@ -175,3 +175,17 @@ def test_sharding(spark, docs, empty):
     assert sharding.shards(empty).collect() == []
     crc = {r.doc_id: (r.size, r.text_crc32) for r in sharding.shards(docs).collect()}
     assert all(crc[r.doc_id] == (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+
+
+def test_units_are_encoded_together(monkeypatch):
+    p, r, whole = pieces.Pieces(PATH), random.Random(6), Tokenizer.from_file(PATH)
+    ids_of = lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    alone = []
+    monkeypatch.setattr(p, "_encoded", lambda texts, of=p._encoded: (alone.extend(texts), of(texts))[1])
+    odd = [" ", "x", "é", "\U0001f600", "'s", "\t", "\n", "a", "B9", "<|endoftext|>", "\x00", "　", "﻿", "\x85", ","]
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["a " + " ".join(f"w{i}" for i in range(2 * pieces.JOINED + 1)), ""]
+    assert p.ids(texts) == [ids_of(t) for t in texts]
+    assert len(alone) == len(texts)  # beginnings and texts with special strings; other units go together
+    p.width[:] = 2  # where the bytes do not meet the units' ends, each unit is encoded alone
+    p.units.clear()
+    assert p.ids(texts[-2:]) == [ids_of(t) for t in texts[-2:]]
