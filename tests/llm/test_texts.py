@@ -189,3 +189,20 @@ def test_units_are_encoded_together(monkeypatch):
     p.width[:] = 2  # where the bytes do not meet the units' ends, each unit is encoded alone
     p.units.clear()
     assert p.ids(texts[-2:]) == [ids_of(t) for t in texts[-2:]]
+
+
+def test_plain_units_go_to_the_model(monkeypatch):
+    """Units of plain characters reach the library's model by distinct pre-tokens, others its whole path; what is remembered changes no ids."""
+    p, r, whole = pieces.Pieces(PATH), random.Random(8), Tokenizer.from_file(PATH)
+    ids_of = lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    joined = []
+    monkeypatch.setattr(p, "_encoded_units", lambda units, of=p._encoded_units: (joined.extend(units), of(units))[1])
+    monkeypatch.setattr(pieces, "KEPT_UNITS", 300)
+    odd = ["don't", "Ünïcode", "x²½", "a,b", "(ª", "été!", "12a", "\u0131", "\u0250", "日本", "a\tb", "\x1c", "\u00ad", "\u00a0", "", "…"]
+    for seed in range(4):
+        texts = [" ".join(r.choice(odd) if r.random() < 0.3 else f"w{r.randrange(2000)}" for _ in range(r.randint(0, 90))) for _ in range(60)]
+        assert p.ids(texts) == [ids_of(t) for t in texts] and len(p.units) <= 300
+    assert joined and all(any(c in "\t\x1c\u00ad\u00a0\u0250日本…" for c in u) or " " in u[1:] for u in joined)
+    monkeypatch.setattr(p, "split", None)  # no pre-token is split again where all units are remembered
+    some = [" ".join(["x", *list(p.units)[:50]])]
+    assert p.ids(some) == [ids_of(some[0])]
