@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tracelake.llm import ngram_join
+from tracelake.llm import components, ngram_join
 from tracelake.llm.ngram_join import jaccard_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,3 +116,28 @@ def test_sets_with_equal_ids_stay_apart(spark, id_bits):
     rows = corpus(id_bits)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, jaccard_components(docs, id_bits=id_bits).collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("held", [1_000_000, 3])
+def test_components_need_few_rounds(spark, monkeypatch, held):
+    """Chains, repeated edges, loops and nulls by plain union-find; tasks that reduce their edges leave at most three rounds."""
+    monkeypatch.setattr(components, "HELD", held)
+    rounds = []
+    monkeypatch.setattr(components, "stored", lambda df, name, of=components.stored: (rounds.append(name), of(df, name))[1])
+    r = random.Random(held)
+    edges = [(r.randrange(400) - 50, r.randrange(400) - 50) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 3), (5, 5), (2000, 2001), (2001, 2000), (2000, 2001)]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(3))
+    assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in list(top))
+    assert rounds.count("stars") <= 3
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
