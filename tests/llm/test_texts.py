@@ -107,6 +107,43 @@ def test_coder_time_and_size():
             coder.decode(bytes(damaged))
 
 
+def test_coder_mixes_orders():
+    """What each prediction alone can tell is told by it; random ids take 10 to 13 bits each, so a lost prediction shows in the size."""
+    r = np.random.default_rng(4)
+    block = lambda make: np.concatenate([make() for _ in range(64)]).astype(np.uint32)[: 64 * coder.SHORT]
+
+    def size(ids):
+        packed = coder.encode(ids)
+        assert (coder.decode(packed) == ids).all()
+        return len(packed) / len(ids)
+
+    def alternate():  # after 0 come turns of all others, so only the last two ids tell the next
+        others = r.permutation(np.arange(1, 33))
+        return np.tile(np.stack([np.zeros(32, int), others], 1).ravel(), coder.SHORT // 64)
+
+    assert size(block(alternate)) < 0.2
+
+    def chain():  # 512 ids of 2000, each with a follower of its own, which contexts that share a place would forget
+        return np.tile(r.permutation(2000)[:512], coder.SHORT // 512)
+
+    assert size(block(chain)) < 0.85
+    few = lambda: r.choice(r.permutation(20_000)[:16], coder.SHORT)  # noqa: E731  each block has its own 16 ids, 4 bits each and 16 new ones
+    assert size(block(few)) < 0.65
+
+
+def test_coder_keeps_each_block_apart():
+    r = np.random.default_rng(5)
+    ids = (r.zipf(1.3, 9000) % 3000).astype(np.uint32)
+    for n in (2, 3, 1024, 1030, 5000):
+        assert (coder.decode(coder.encode(ids[:n])) == ids[:n]).all()
+    kept = coder.LANES, coder.SHORT
+    coder.LANES, coder.SHORT = 3, 64  # several groups of lanes, blocks of BLOCK ids and a short last one
+    try:
+        assert (coder.decode(coder.encode(ids)) == ids).all()
+    finally:
+        coder.LANES, coder.SHORT = kept
+
+
 def without(rows, length=20):
     split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
     first = {}
