@@ -182,3 +182,42 @@ def test_every_link_of_recordings(spark):
     df = spark.createDataFrame([*((i, media.melody(t)) for i, t in texts.items()), (20, media.melody(texts[0]))], "id long, audio binary")
     got = {x.id: x.n_links for x in media.recording_groups(df).collect()}
     assert got == links | {20: links[0]}
+
+
+def test_recordings_exchange_no_pairs(spark):
+    """Recordings that share passages are compared inside the tasks: what is exchanged does not grow with their pairs."""
+    base = words(60, 200)
+    texts = {i: [*words(120, 300 + i), *base, *words(120, 400 + i)] for i in range(80)}
+    df = spark.createDataFrame([(i, media.melody(t)) for i, t in texts.items()], "id long, audio binary")
+
+    def written():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = written()
+    assert media.recording_groups(df).count() == 80
+    assert 0 < written() - before < 80 * 300 * 4
+
+
+def test_pairs_of_blocks(monkeypatch):
+    """Linked pairs are the same however few places meet at once; every pair and offset by brute force."""
+    base, steady = words(90, 500), ["same"] * 60
+    texts = [[*words(3 + i, 600 + i), *base[2 * i :], *words(4, 700 + i)] for i in range(5)] + [steady, steady[:40], [*words(30, 1), *steady], ["a", "b"] * 40, ["b", "a"] * 30, ["one"]]
+    prints = [p for t in texts if len(p := media.integers(media.melody(t)))]
+    block = lambda ps, base: media._Block(list(range(base, base + len(ps))), np.cumsum([len(p) for p in ps]).astype("<i8").tobytes(), b"".join(p.astype("<u4").tobytes() for p in ps), list(range(len(ps))))
+    want = set()
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints):
+            ka, kb = ([(x[p], x[p + 1]) for p in range(len(x) - 1)] for x in (a, b))
+            for o in range(-len(kb), len(ka)):
+                same = [p for p in range(max(0, o), min(len(ka), len(kb) + o)) if ka[p] == kb[p - o]]
+                n, e = media.bit_errors(a, b, o)
+                if len(same) >= media.VOTES and n >= media.OVERLAP and e <= media.ERRORS:
+                    want.add((i, j))
+                    break
+    assert len(want) > 2 * len(prints)
+    for most in (1 << 20, 200, 1):
+        monkeypatch.setattr(media, "MATCHES", most)
+        assert set(zip(*(x.tolist() for x in media._linked(block(prints, 0), block(prints, 0), False)), strict=True)) == want
+        x, y = media._linked(block(prints, 0), block(prints, 0), True)
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) == {(i, j) for i, j in want if i < j} and len(x) == len({*zip(x.tolist(), y.tolist(), strict=True)})
